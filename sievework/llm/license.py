@@ -4,8 +4,8 @@ DataFrame and SQL functions only. Texts become lower-case words of letters and d
 Templates are grouped by size; for a group of up to c shingles, windows hold 2c shingles and start every c, so
 a copy of a template lies whole in some window. A window holding ``least`` of a template's shingles then has a
 Jaccard similarity of at least J with it, and with one row a band the number of bands is set so that
-1 - (1 - J)^bands reaches ``chance``. Windows without any template shingle are passed over: no band of theirs
-can equal a template's. Candidates are verified by exact containment of the shingles' words.
+1 - (1 - J)^bands reaches ``chance``. Windows without any template shingle are passed over, as no band of
+theirs can equal a template's, and so are texts without any of a few words that every match must hold. Candidates are verified by exact containment of the shingles' words.
 
 Null, empty and shorter texts than five words have no match and no row. Several matches of one template in a
 document give one row with the best containment and the first place. Repeated rows each give their rows.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +72,8 @@ def band_count(most: int, shingles: int, least: float, chance: float) -> int:
     return math.ceil(math.log(1 - chance) / math.log(1 - j))
 
 
-def prepare(spark, templates: dict[str, str], least: float, chance: float) -> list[tuple[Group, dict[str, tuple[list[str], list[int], list[int]]]]]:
-    """Groups by size, each with every template's shingles, their hashes and its bands; at most ``MOST_TEMPLATES`` come to the driver."""
+def prepare(spark, templates: dict[str, str], least: float, chance: float) -> list[tuple[Group, dict[str, tuple]]]:
+    """Groups by size, each with every template's words, shingles, their hashes and its bands; at most ``MOST_TEMPLATES`` come to the driver."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     frame = spark.createDataFrame(list(templates.items()), "name string, text string").select("name", words(F.col("text")).alias("w")).select("name", "w", shingle_hashes(F.col("w")).alias("h"))
@@ -87,7 +88,7 @@ def prepare(spark, templates: dict[str, str], least: float, chance: float) -> li
         bands = max(band_count(most, len(set(known[n][1])), least, chance) for n in names)
         own = frame.where(F.col("name").isin(names)).select("name", band_values(F.col("h"), bands).alias("b")).collect()
         by = {r["name"]: r.b for r in own}
-        out.append((Group(most, bands, tuple(names)), {n: (sorted({" ".join(known[n][0][i : i + SHINGLE]) for i in range(len(known[n][1]))}), sorted(set(known[n][1])), by[n]) for n in names}))
+        out.append((Group(most, bands, tuple(names)), {n: (known[n][0], sorted({" ".join(known[n][0][i : i + SHINGLE]) for i in range(len(known[n][1]))}), sorted(set(known[n][1])), by[n]) for n in names}))
     return out
 
 
@@ -99,31 +100,53 @@ def _spots(h: Column, own: list[int], c: int) -> Column:
     return F.transform(F.array_distinct(both), lambda k: F.struct(F.lit(c).alias("c"), k.alias("k")))
 
 
+def anchors(templates: list[list[str]], least: float) -> list[str]:
+    """A few long words without any of which no text can hold ``least`` of a template's shingles.
+
+    For each template, words are taken, those taken before and then the longest first, until the shingles
+    without any of them are too few for a match.
+    """
+    chosen: list[str] = []
+    for w in sorted(templates, key=len):
+        shingles = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+        own: list[str] = []
+        for word in sorted(set(w), key=lambda x: (x not in chosen, -len(x), x)):
+            if sum(not set(own) & set(s) for s in shingles) < least * len(shingles):
+                break
+            own.append(word)
+        chosen += [x for x in own if x not in chosen]
+    return chosen
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, chance: float = CHANCE) -> DataFrame:
     """doc_id, license (the template's name), containment (best), first_word (place of the first match's window), n_windows."""
     groups = prepare(docs.sparkSession, templates, least, chance)
+    if not groups:
+        return docs.sparkSession.createDataFrame([], "doc_id long, license string, containment double, first_word long, n_windows long")
     longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
-    every = sorted({h for _, t in groups for _, hs, _ in t.values() for h in hs})
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col).cast("string")).alias("w"))
+    every = sorted({h for _, t in groups for _, _, hs, _ in t.values() for h in hs})
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = anchors([t for _, known in groups for t, *_ in known.values()], least)
+    base = base.where(F.exists(F.array(F.lower("text")), lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in held], F.lit(False))))
+    base = base.select("doc_id", words(F.col("text")).alias("w"))
     base = base.select("doc_id", "w", shingle_hashes(F.col("w")).alias("h")).where(F.arrays_overlap("h", longs(every)))
     base = base.withColumn("row", F.monotonically_increasing_id())
     per_group = []
     for group, known in groups:
         c = group.most
-        own = sorted({h for _, hs, _ in known.values() for h in hs})
+        own = sorted({h for _, _, hs, _ in known.values() for h in hs})
         per_group.append(_spots(F.col("h"), own, c))
     spots = base.select("row", "doc_id", "w", "h", F.explode(F.concat(*per_group)).alias("s"))
     c, k = F.col("s.c"), F.col("s.k")
     spots = spots.select("row", "doc_id", c.alias("c"), (k * c).alias("at"), F.slice("h", k * c + 1, 2 * c).alias("h"), F.slice("w", k * c + 1, 2 * c + SHINGLE - 1).alias("w"))
-    found = None
+    bands = index = None
     for group, known in groups:
-        index = F.array(*[F.struct(F.lit(n).alias("license"), longs(b).alias("bands"), F.array(*[F.lit(x) for x in s]).alias("shingles")) for n, (s, _, b) in sorted(known.items())])
-        own = spots.where(F.col("c") == group.most).withColumn("bands", band_values(F.col("h"), group.bands))
-        hit = own.select("row", "doc_id", "at", "w", F.explode(F.filter(index, lambda t: F.arrays_overlap(t["bands"], F.col("bands")))).alias("t"))
-        text = F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
-        share = F.size(F.array_intersect("t.shingles", text)) / F.size("t.shingles")
-        here = hit.select("row", "doc_id", "at", F.col("t.license").alias("license"), share.alias("containment")).where(F.col("containment") >= least)
-        found = here if found is None else found.unionByName(here)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, license string, containment double, first_word long, n_windows long")
+        own = F.array(*[F.struct(F.lit(n).alias("license"), longs(b).alias("bands"), F.array(*[F.lit(x) for x in s]).alias("shingles")) for n, (_, s, _, b) in sorted(known.items())])
+        values, here = band_values(F.col("h"), group.bands), F.col("c") == group.most
+        bands = F.when(here, values) if bands is None else bands.when(here, values)
+        index = F.when(here, own) if index is None else index.when(here, own)
+    hit = spots.withColumn("bands", bands).select("row", "doc_id", "at", "w", F.explode(F.filter(index, lambda t: F.arrays_overlap(t["bands"], F.col("bands")))).alias("t"))
+    text = F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
+    share = F.size(F.array_intersect("t.shingles", text)) / F.size("t.shingles")
+    found = hit.select("row", "doc_id", "at", F.col("t.license").alias("license"), share.alias("containment")).where(F.col("containment") >= least)
     return found.groupBy("row", "doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"), F.count("*").alias("n_windows")).drop("row")

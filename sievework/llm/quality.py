@@ -49,8 +49,33 @@ RULES = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), value being computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+
+
+def _twice(p: Column, same) -> Column:
+    """Of sorted entries, those equal to the one before or after."""
+    return F.filter(p, lambda x, k: F.coalesce(same(x, F.get(p, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(p, k + 1)), F.lit(False)))
+
+
+def _repeat_words(w: Column, h: Column) -> Column:
+    """Words in three-word windows that occur twice or more. h: a hash of each window.
+
+    Places are sorted with the low 40 bits of their hash above 24 bits of place, then those with a neighbour of
+    the same bits are sorted by their words and compared. Texts of 2^24 words or more compare all their places.
+    """
+    packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 24).bitwiseOR(i.cast("bigint"))))
+    close = _let(packed, lambda p: F.transform(_twice(p, lambda x, y: F.shiftright(x, 24) == F.shiftright(y, 24)), lambda x: x.bitwiseAND(F.lit((1 << 24) - 1).cast("bigint")).cast("int")))
+    places = F.when(F.size(h) < 1 << 24, close).otherwise(F.sequence(F.lit(0), F.size(h) - 1))
+    named = F.sort_array(F.transform(places, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
+    at = F.sort_array(F.transform(_let(named, lambda p: _twice(p, lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]))), lambda x: x["i"]))
+    return _let(at, lambda a: F.aggregate(F.transform(a, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(a, k + 1) - i, F.lit(3)))), F.lit(0), lambda s, x: s + x))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,19 +84,16 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Windows of three words are compared by a 64-bit hash first; only texts with equal hashes compare the words.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    count = lambda chars: F.regexp_count("t", F.lit(chars)).cast("long")
+    lines = F.when(F.col("t").contains("\n"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.when(F.col("t").rlike(r"[^\x20\x09-\x0D]"), F.array("t")).otherwise(F.array().cast("array<string>")))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
-    base = base.select("doc_id", _words(F.col("t")).alias("w"), F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"), (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"), F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0).alias("lines"))
+    base = base.select("doc_id", _words(F.col("t")).alias("w"), count("[#*$%&|<>]").alias("n_symbols"), count("[A-Z]").alias("n_capitals"), lines.alias("lines"))
     n = F.size("w")
-    hashes = F.when(n >= 3, F.zip_with(F.zip_with("w", F.slice("w", 2, n), lambda a, b: F.xxhash64(a, b)), F.slice("w", 3, n), lambda h, c: F.xxhash64(h, c))).otherwise(F.array().cast("array<bigint>"))
-    base = base.select("doc_id", "w", "word_chars", "n_symbols", "n_capitals", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), F.slice(hashes, F.lit(1), F.greatest(n - 2, F.lit(0))).alias("h"))
-    # places sorted by their window; a window equal to the one before or after it in that order occurs twice
-    places = F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.alias("i"))))
-    same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-    doubled = lambda p: F.filter(p, lambda x, k: F.coalesce(same(x, F.get(p, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(p, k + 1)), F.lit(False)))
-    at = F.array_sort(F.transform(F.transform(F.array(places), doubled)[0], lambda x: x["i"]))
-    covered = F.transform(F.array(at), lambda a: F.aggregate(F.transform(a, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(a, k + 1) - i, F.lit(3)))), F.lit(0), lambda s, x: s + x))[0]
-    repeat = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(covered)
-    return base.select("doc_id", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"), "n_lines", "n_capitals")
+    hashes = F.zip_with(F.zip_with("w", F.slice("w", 2, n), lambda a, b: F.xxhash64(a, b)), F.slice("w", 3, n), lambda h, c: F.xxhash64(h, c))
+    h = F.when(n >= 3, F.slice(hashes, F.lit(1), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    base = base.select("doc_id", "w", "n_symbols", "n_capitals", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), h.alias("h"))
+    repeat = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(_repeat_words(F.col("w"), F.col("h")))
+    return base.select("doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"), "n_lines", "n_capitals")
 
 
 def base_failed() -> Column:
