@@ -1,11 +1,472 @@
-"""All registered queries of the engine's own operators, with their SQL."""
+"""All registered queries of the engine's own operators, with their SQL for DuckDB.
+
+The driver's tables hold invented prose, so the queries pass vocabularies that occur in it; the operators'
+defaults are those of the document pipeline. Order is given as a rank column.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import policy, text
+from ..operators import evidence, relational, scoring
+from ..sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+TERMS = {"the": 3, "tion": 9, "heon": 14, "ing the": 12, "of the": 10, "les": 8, "und": 7, "ciones": 11}
+NEGATIVE = {"ch": 20, "de": 6}
+BONUS = {"en": 14, "de": 8, "fr": 0}
+QUERY_TOKENS = ("the", "and", "tion", "les", "und", "with")
+#: Whole words in a form that every regular-expression engine reads alike, whatever letters stand around them.
+WHOLE = r"(?:^|[^\p{{L}}\p{{N}}_])(?:{})(?:[^\p{{L}}\p{{N}}_]|$)"
+TYPES = {k: WHOLE.format(v) for k, v in {"limitation": "not", "result": "with|avec|mit", "method": "from|para|dans", "dataset_population": "their|les|die", "claim": "the|la|der"}.items()}
+NEGATED, POSITIVE = WHOLE.format("not|no|ne|nicht"), WHOLE.format("with|avec|mit|con")
+GATE = policy.SourcePolicy(allowed=("thther.example.org", "therha.example.com", "ththre.example.com"), blocked=("m.ththth.example.net",), suffixes=(".pdf", ".zip", ".exe"), prefixes=("/fr/1",))
+NORM = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+HUMAN = "CASE WHEN quality = 1 AND toxic = 0 THEN 'relevant' WHEN quality = 1 THEN 'maybe' ELSE 'irrelevant' END"
+AGENT = "CASE WHEN n_chars >= 1500 THEN 'relevant' WHEN n_chars >= 600 THEN 'maybe' ELSE 'irrelevant' END"
+SENT = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled items: human and agent label, label source and confidence."""
+    return _t(spark, sf, "labels").join(_t(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id").withColumns({"human": F.expr(HUMAN), "agent": F.expr(AGENT), "label_source": F.when(F.col("doc_id") % 2 == 0, "human").otherwise("agent"), "confidence": F.round(0.5 + (F.col("doc_id") % 50) / 100.0, 2)})
+
+
+LAB = f"(SELECT l.doc_id, d.source, d.lang, d.n_chars, {HUMAN} AS human, {AGENT} AS agent, CASE WHEN l.doc_id % 2 = 0 THEN 'human' ELSE 'agent' END AS label_source, round(0.5 + (l.doc_id % 50) / 100.0, 2) AS confidence FROM labels l JOIN documents d USING (doc_id))"
+
+
+def _hits_sql(c: str, terms: dict[str, int]) -> str:
+    return " + ".join(f"CASE WHEN contains(' ' || {c} || ' ', ' {t} ') THEN {w} ELSE 0 END" for t, w in terms.items())
+
+
+SCORED = f"""(SELECT doc_id, source, lang, n_chars, text, CAST(greatest(0, least(100, 5 + CASE lang WHEN 'en' THEN 14 WHEN 'de' THEN 8 ELSE 0 END + hits
+  - CASE WHEN hits = 0 AND wrong > 0 THEN least(80, wrong + 18) ELSE 0 END)) AS INTEGER) AS score FROM (SELECT *, {_hits_sql("n", TERMS)} AS hits, {_hits_sql("n", NEGATIVE)} AS wrong FROM (SELECT *, {NORM.format(c="text")} AS n FROM documents)))"""
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").withColumn("n", text.normalize_phrase(F.col("text")))
+    return docs.withColumn("score", scoring.relevance(F.col("n"), F.col("lang"), TERMS, BONUS, NEGATIVE))
+
+
+# --- sources and gates ------------------------------------------------------------------------------------------------
+
+GATED = """(SELECT page_id, url, CASE WHEN host IN ('m.ththth.example.net') THEN 'blocked_domain' WHEN regexp_matches(lower(path), '\\.(pdf|zip|exe)$') OR starts_with(lower(path), '/fr/1') THEN 'blocked_extension_or_artifact'
+  WHEN host NOT IN ('thther.example.org', 'therha.example.com', 'ththre.example.com') THEN 'domain_not_allowlisted' ELSE 'allowed_domain' END AS reason, host AS domain,
+  scheme || '://' || host || regexp_replace(path, ';[^/]*$', '') || CASE WHEN q = '?' THEN '' ELSE q END AS normalized
+  FROM (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 1)) AS scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2)) AS host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(\\?[^#]*)', 1) AS q FROM pages))"""
+
+
+@query(f"SELECT page_id, normalized, 'url' AS kind, starts_with(reason, 'allowed') AS allowed, reason, domain FROM {GATED}")
+def source_gate(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", policy.gate(F.col("url"), GATE).alias("g")).select("page_id", "g.*")
+
+
+@query(f"SELECT reason, starts_with(reason, 'allowed') AS allowed, count(*) AS n FROM {GATED} GROUP BY ALL")
+def gate_counts(spark, sf):
+    return source_gate(spark, sf).groupBy("reason", "allowed").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, key, source FROM (SELECT doc_id, md5(lower(text)) AS key, source, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def candidate_dedupe(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("key"), "source")
+    return relational.first_per_key(docs, ["key"], ["doc_id"])
+
+
+@query("SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '/+$', '') AS bare, regexp_extract(regexp_replace(regexp_extract(url, '^[^?#]*', 0), '/+$', ''), '([^/]*)$', 1) AS last_segment FROM pages")
+def trailing_ids(spark, sf):
+    bare = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "/+$", "")
+    return _t(spark, sf, "pages").select("page_id", bare.alias("bare"), text.trailing_id(bare).alias("last_segment"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS plain FROM pages")
+def html_clean(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", readers.plain(F.col("html")).alias("plain"))
+
+
+@query("""SELECT page_id, CAST(k AS INTEGER) - 1 AS place, href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages))""")
+def href_extract(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", F.posexplode(readers.hrefs(F.col("html"))).alias("place", "href"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type FROM events")
+def json_props(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), "event_type")
+
+
+# --- relevance and terms ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 99 END, doc_id) AS INTEGER) AS rank FROM {SCORED} QUALIFY rank <= 100")
+def relevance_topk(spark, sf):
+    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).otherwise(99)
+    order = [F.desc("score"), rank, F.col("doc_id")]
+    top = _scored(spark, sf).select("doc_id", "lang", "score").orderBy(*order).limit(100)
+    return top.select("doc_id", "score", F.row_number().over(W.orderBy(*order)).alias("rank"))
+
+
+@query("SELECT term, count(*) AS n_docs FROM (SELECT unnest([" + ", ".join(f"CASE WHEN contains(' ' || n || ' ', ' {t} ') THEN '{t}' END" for t in TERMS) + f"]) AS term FROM (SELECT {NORM.format(c='text')} AS n FROM documents)) WHERE term IS NOT NULL GROUP BY term")
+def phrase_hits(spark, sf):
+    n = text.normalize_phrase(F.col("text"))
+    found = _t(spark, sf, "documents").select(n.alias("n")).select(F.explode(F.array_compact(F.array(*[F.when(text.contains_phrase(F.col("n"), t), F.lit(t)) for t in TERMS]))).alias("term"))
+    return found.groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
+TOK = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) >= 3))"
+
+
+@query(f"SELECT doc_id, CAST(len(list_intersect({TOK.format(c='text')}, ['the', 'and', 'tion', 'les', 'und', 'with'])) AS INTEGER) AS overlap FROM documents")
+def query_overlap(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.size(F.array_intersect(text.tokens(F.col("text")), F.array(*[F.lit(x) for x in QUERY_TOKENS]))).alias("overlap"))
+
+
+@query(f"""SELECT doc_id, label, round(CASE label WHEN 'relevant' THEN least(0.95, 0.62 + 0.08 * overlap + score / 250.0) WHEN 'maybe' THEN least(0.8, 0.55 + 0.07 * overlap + score / 300.0) ELSE least(0.9, 0.68 + greatest(0, 25 - score) / 200.0) END, 3)::DOUBLE AS confidence
+FROM (SELECT *, CASE WHEN overlap >= 3 OR score >= 65 THEN 'relevant' WHEN overlap >= 2 OR (overlap >= 1 AND score >= 15) OR score >= 25 THEN 'maybe' ELSE 'irrelevant' END AS label
+FROM (SELECT doc_id, CAST(score AS DOUBLE) AS score, CAST(len(list_intersect({TOK.format(c='text')}, ['the', 'and', 'tion', 'les', 'und', 'with'])) AS DOUBLE) AS overlap FROM {SCORED}))""")
+def auto_labels(spark, sf):
+    docs = _scored(spark, sf).withColumn("overlap", F.size(F.array_intersect(text.tokens(F.col("text")), F.array(*[F.lit(x) for x in QUERY_TOKENS]))))
+    return docs.select("doc_id", scoring.auto_label(F.col("overlap").cast("double"), F.col("score").cast("double")).alias("a")).select("doc_id", "a.*")
+
+
+BIG = "regexp_extract_all(lower(text), '[a-z]{3,}')"
+
+
+@query(f"""SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, first_doc, term) AS INTEGER) AS rank FROM (SELECT term, count(*) AS n, min(doc_id) AS first_doc FROM
+(SELECT doc_id, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) AS term FROM (SELECT doc_id, {BIG} AS w FROM documents) WHERE len(w) >= 2) GROUP BY term) QUALIFY rank <= 12""")
+def metadata_terms_topk(spark, sf):
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    terms = _t(spark, sf, "documents").select("doc_id", w.alias("w")).select("doc_id", F.explode(text.ngrams(F.col("w"), 2)).alias("term"))
+    order = [F.desc("n"), F.col("first_doc"), F.col("term")]
+    top = terms.groupBy("term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy(*order).limit(12)
+    return top.select("term", "n", F.row_number().over(W.orderBy(*order)).alias("rank"))
+
+
+@query("SELECT doc_id, array_to_string(a, ',') AS acronyms FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Za-z][A-Za-z0-9]{1,7}$') AND length(regexp_replace(w, '[^A-Z]', '', 'g')) >= 2) AS f, list_filter(f, lambda w, i: list_position(f, w) = i) AS a FROM documents) WHERE len(a) > 0")
+def acronym_detect(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", text.acronyms(F.col("text")).alias("a")).where(F.size("a") > 0).select("doc_id", F.array_join("a", ",").alias("acronyms"))
+
+
+@query(f"""SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM (SELECT item_id, CAST(8 * len(list_intersect({TOK.format(c="split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")}, ['the', 'and', 'tion', 'with'])) + 4 * len(list_intersect({TOK.format(c='text')}, ['the', 'and', 'tion', 'with'])) AS INTEGER) AS score FROM benchmark) WHERE score >= 12 QUALIFY rank <= 20""")
+def corpus_route(spark, sf):
+    ask = F.array(*[F.lit(x) for x in ("the", "and", "tion", "with")])
+    title = F.concat_ws(" ", *[F.split_part("text", F.lit(" "), F.lit(k)) for k in (1, 2, 3)])
+    rows = _t(spark, sf, "benchmark").select("item_id", (8 * F.size(F.array_intersect(text.tokens(title), ask)) + 4 * F.size(F.array_intersect(text.tokens(F.col("text")), ask))).alias("score")).where("score >= 12")
+    top = rows.orderBy(F.desc("score"), "item_id").limit(20)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "item_id")))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN q = '' THEN trim(text) ELSE q END AS query FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(text), '^assistant[,: ]+', '', 'i'), '^(the|que|die|to) +', '', 'i')) AS q FROM conversations)""")
+def review_query_normalise(spark, sf):
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim("text"), "(?i)^assistant[,: ]+", ""), "(?i)^(the|que|die|to) +", ""))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.when(bare == "", F.trim("text")).otherwise(bare).alias("query"))
+
+
+# --- labels -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT label, count(x.human) AS n FROM (SELECT unnest(['relevant', 'maybe', 'irrelevant']) AS label) c LEFT JOIN {LAB} x ON x.human = c.label GROUP BY label")
+def label_summary(spark, sf):
+    counts = _labels(spark, sf).groupBy(F.col("human").alias("label")).agg(F.count("*").alias("n"))
+    choices = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in scoring.LABELS])).alias("label"))
+    return choices.join(counts, "label", "left").na.fill(0, ["n"])
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def unlabeled_items(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "source").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(f"SELECT c.human, count(*) FILTER (x.agent = 'relevant') AS relevant, count(*) FILTER (x.agent = 'maybe') AS maybe, count(*) FILTER (x.agent = 'irrelevant') AS irrelevant FROM (SELECT unnest(['relevant', 'maybe', 'irrelevant']) AS human) c LEFT JOIN {LAB} x ON x.human = c.human GROUP BY c.human")
+def confusion_matrix(spark, sf):
+    return scoring.confusion(_labels(spark, sf), "human", "agent")
+
+
+@query(f"""SELECT label, round(coalesce(hit / nullif(a, 0), 0), 6)::DOUBLE AS precision, round(coalesce(hit / nullif(h, 0), 0), 6)::DOUBLE AS recall FROM (SELECT c.label, count(*) FILTER (x.human = c.label AND x.agent = c.label) AS hit, count(*) FILTER (x.agent = c.label) AS a, count(*) FILTER (x.human = c.label) AS h
+FROM (SELECT unnest(['relevant', 'maybe', 'irrelevant']) AS label) c CROSS JOIN {LAB} x GROUP BY c.label)""")
+def precision_recall(spark, sf):
+    return scoring.precision_recall(_labels(spark, sf), "human", "agent")
+
+
+@query(f"SELECT agent AS label, round(coalesce(max(confidence) FILTER (human <> agent), min(confidence) FILTER (human = agent)), 3)::DOUBLE AS threshold, count(*) FILTER (human <> agent) AS mistakes FROM {LAB} GROUP BY agent")
+def threshold_reco(spark, sf):
+    wrong, right = F.col("human") != F.col("agent"), F.col("human") == F.col("agent")
+    return _labels(spark, sf).groupBy(F.col("agent").alias("label")).agg(F.round(F.coalesce(F.max(F.when(wrong, F.col("confidence"))), F.min(F.when(right, F.col("confidence")))), 3).alias("threshold"), F.count_if(wrong).alias("mistakes"))
+
+
+@query(f"SELECT doc_id, human, agent, confidence, CAST(row_number() OVER (ORDER BY coalesce(confidence, -1) DESC, source, doc_id) AS INTEGER) AS rank FROM {LAB} WHERE human <> agent QUALIFY rank <= 50")
+def disagreements(spark, sf):
+    order = [F.desc(F.coalesce("confidence", F.lit(-1.0))), F.col("source"), F.col("doc_id")]
+    top = _labels(spark, sf).where("human <> agent").orderBy(*order).limit(50)
+    return top.select("doc_id", "human", "agent", "confidence", F.row_number().over(W.orderBy(*order)).alias("rank"))
+
+
+@query("""SELECT user_id, label, label_source, created_at, updated_at, n_events FROM (SELECT user_id, event_type AS label, CASE WHEN event_type IN ('purchase', 'signup') THEN 'human' ELSE 'agent' END AS label_source, min(ts) OVER (PARTITION BY user_id) AS created_at, ts AS updated_at, count(*) OVER (PARTITION BY user_id) AS n_events,
+row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type IN ('purchase', 'signup') THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def label_precedence_fold(spark, sf):
+    e = _t(spark, sf, "events").select("user_id", F.col("event_type").alias("label"), F.when(F.col("event_type").isin("purchase", "signup"), "human").otherwise("agent").alias("label_source"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"))
+    return relational.fold_labels(e, ["user_id"])
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
+def latest_run(spark, sf):
+    return relational.latest(_t(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), [F.desc("ts"), F.desc("event_id")])
+
+
+@query("SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, max(o_orderdate) AS at FROM orders GROUP BY o_custkey")
+def run_status(spark, sf):
+    return _t(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.max("o_orderdate").alias("at"))
+
+
+@query("SELECT source, count(*) AS screened_count, count(*) FILTER (NOT (lang IN ('en', 'de'))) AS blocked_count, count(*) FILTER (lang IN ('en', 'de') AND n_chars >= 2000) AS deep_read_count FROM documents GROUP BY source")
+def derived_counters(spark, sf):
+    return relational.counters(_t(spark, sf, "documents").select("source", "lang", "n_chars"), ["source"], F.col("lang").isin("en", "de"), F.col("n_chars") >= 2000)
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k, lang FROM documents WHERE n_chars < 3000) n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.n_chars >= 60000 AND e.source = n.source AND e.lang = n.lang)")
+def append_if_absent(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    return relational.append_new(d.where("n_chars >= 60000"), d.where("n_chars < 3000"), ["source", "lang"], ["doc_id"]).select("doc_id", "source")
+
+
+# --- ranking and review -----------------------------------------------------------------------------------------------
+
+BUCKET = "CASE human WHEN 'relevant' THEN 0 WHEN 'maybe' THEN 1 WHEN 'irrelevant' THEN 4 ELSE 2 END"
+
+
+@query(f"SELECT s.doc_id, CAST({BUCKET} AS INTEGER) AS bucket, s.score, CAST(row_number() OVER (ORDER BY {BUCKET}, s.score DESC, s.doc_id) AS INTEGER) AS rank FROM {SCORED} s LEFT JOIN {LAB} l ON l.doc_id = s.doc_id QUALIFY rank <= 200")
+def deep_read_rank(spark, sf):
+    j = _scored(spark, sf).select("doc_id", "score").join(_labels(spark, sf).select("doc_id", "human"), "doc_id", "left").withColumn("bucket", F.expr(BUCKET))
+    order = [F.col("bucket"), F.desc("score"), F.col("doc_id")]
+    return j.orderBy(*order).limit(200).select("doc_id", "bucket", "score", F.row_number().over(W.orderBy(*order)).alias("rank"))
+
+
+REVIEW = f"""(SELECT s.doc_id, s.source, s.score, CAST(s.score + CASE WHEN l.human = 'maybe' THEN 120 WHEN l.human = 'irrelevant' AND s.score >= 40 THEN 110 WHEN l.human IS NULL THEN 80 WHEN l.human = 'relevant' AND l.confidence < 0.75 THEN 70 ELSE 5 END
+ + CASE WHEN l.confidence < 0.7 THEN 30 ELSE 0 END AS INTEGER) AS review FROM {SCORED} s LEFT JOIN {LAB} l ON l.doc_id = s.doc_id WHERE l.label_source IS DISTINCT FROM 'human')"""
+
+
+def _review(spark, sf):
+    j = _scored(spark, sf).select("doc_id", "source", "score").join(_labels(spark, sf).select("doc_id", "human", "confidence", "label_source"), "doc_id", "left").where("not (label_source <=> 'human')")
+    return j.withColumn("review", scoring.review_score(F.col("human"), F.col("score"), F.col("confidence"))).where("review > 0").select("doc_id", "source", "score", "review")
+
+
+@query(f"SELECT doc_id, source, review, CAST(row_number() OVER (ORDER BY least(k - 1, 1), review DESC, score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY review DESC, score DESC, doc_id) AS k FROM {REVIEW}) QUALIFY rank <= 50")
+def review_queue_diverse(spark, sf):
+    return scoring.diversify(_review(spark, sf), "source", [F.desc("review"), F.desc("score"), F.col("doc_id")], 50).select("doc_id", "source", "review", "rank")
+
+
+@query(f"SELECT x.doc_id, x.human, x.label_source, x.confidence, coalesce(r.review, 0) AS review FROM {LAB} x LEFT JOIN {REVIEW} r ON r.doc_id = x.doc_id")
+def label_export(spark, sf):
+    j = _labels(spark, sf).select("doc_id", "human", "label_source", "confidence").join(_review(spark, sf).select("doc_id", "review"), "doc_id", "left")
+    return j.withColumn("review", F.coalesce("review", F.lit(0)))
+
+
+PROFILE = f"(SELECT t.token, sum(CASE human WHEN 'relevant' THEN 2 WHEN 'maybe' THEN 1 ELSE -2 END * CASE label_source WHEN 'human' THEN 4 ELSE 1 END) AS w FROM {LAB} x JOIN (SELECT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents) t ON t.doc_id = x.doc_id GROUP BY t.token)"
+
+
+@query(f"SELECT doc_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT u.doc_id, sum(6 * p.w) AS score FROM (SELECT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) u JOIN {PROFILE} p ON p.token = u.token GROUP BY u.doc_id) QUALIFY rank <= 100")
+def recommend_unlabeled(spark, sf):
+    tok = _t(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
+    weight = F.expr("CASE human WHEN 'relevant' THEN 2 WHEN 'maybe' THEN 1 ELSE -2 END * CASE label_source WHEN 'human' THEN 4 ELSE 1 END")
+    lab = _labels(spark, sf).select("doc_id", weight.alias("weight"))
+    profile = tok.join(lab, "doc_id").groupBy("token").agg(F.sum("weight").alias("w"))
+    scores = tok.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").join(profile, "token").groupBy("doc_id").agg(F.sum(6 * F.col("w")).alias("score"))
+    top = scores.orderBy(F.desc("score"), "doc_id").limit(100)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS n_items, (SELECT count(*) FROM labels) AS n_labels, (SELECT count(*) FILTER (toxic = 1) FROM labels) AS n_toxic, (SELECT count(*) FILTER (quality = 0) FROM labels) AS n_bad, (SELECT count(*) FILTER (n_chars >= 2000) FROM documents) AS n_long, (SELECT count(*) FROM pages) AS n_pages")
+def dashboard_counts(spark, sf):
+    d = _t(spark, sf, "documents").agg(F.count("*").alias("n_items"), F.count_if(F.col("n_chars") >= 2000).alias("n_long"))
+    lab = _t(spark, sf, "labels").agg(F.count("*").alias("n_labels"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("quality") == 0).alias("n_bad"))
+    one = lambda x: x.withColumn("one", F.lit(1))
+    return one(d).join(one(lab), "one").join(one(_t(spark, sf, "pages").agg(F.count("*").alias("n_pages"))), "one").drop("one")
+
+
+# --- evidence ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(k - 1 AS INTEGER) AS seq, sentence FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, {SENT} AS s FROM documents))")
+def sentence_split(spark, sf):
+    return evidence.to_sentences(_t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+SENTS = f"(SELECT doc_id, CAST(k - 1 AS INTEGER) AS seq, sentence FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, {SENT} AS s FROM documents)))"
+_ALT = lambda ps: "(" + "|".join(ps).replace("'", "''") + ")"
+FLAGS = f"""list_filter([CASE WHEN len(regexp_extract_all(sentence, '[^ \\t\\n\\x0b\\f\\r]+')) < 5 THEN 'short_fragment' END, CASE WHEN regexp_matches(sentence, '{_ALT(evidence.INJECTION)}', 'i') THEN 'instruction_injection' END, CASE WHEN regexp_matches(sentence, '{_ALT(evidence.FRONT_MATTER)}', 'i') THEN 'front_matter' END,
+CASE WHEN length(regexp_replace(sentence, '[^|]', '', 'g')) >= 2 THEN 'table_fragment' END, CASE WHEN regexp_matches(sentence, '^[a-z]') THEN 'sentence_fragment' END, CASE WHEN regexp_matches(sentence, '[A-Za-z]- [a-z]') THEN 'hyphenation_break' END], lambda f: f IS NOT NULL)"""
+KIND = "CASE " + " ".join(f"WHEN regexp_matches(sentence, '{p}', 'i') THEN '{k}'" for k, p in TYPES.items()) + " END"
+
+
+def _items(spark, sf):
+    s = sentence_split(spark, sf)
+    return s.withColumns({"flags": evidence.flags(F.col("sentence")), "kind": evidence.classify(F.col("sentence"), TYPES)})
+
+
+ITEMS = f"(SELECT *, {FLAGS} AS flags, {KIND} AS kind FROM {SENTS})"
+
+
+@query(f"SELECT doc_id, seq, array_to_string(flags, ',') AS flags, CASE WHEN len(flags) = 0 THEN 'clean' ELSE 'blocked' END AS quality_label, kind FROM {ITEMS}")
+def evidence_flags(spark, sf):
+    return _items(spark, sf).select("doc_id", "seq", F.array_join("flags", ",").alias("flags"), F.when(F.size("flags") == 0, "clean").otherwise("blocked").alias("quality_label"), "kind")
+
+
+@query(f"SELECT doc_id, seq, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq) AS k FROM {ITEMS} WHERE kind IS NOT NULL AND len(flags) = 0) WHERE k <= 8 QUALIFY place <= 40")
+def evidence_quota(spark, sf):
+    kept = _items(spark, sf).where("kind is not null and size(flags) = 0").select("doc_id", "seq", "kind")
+    return evidence.quota(kept, "doc_id", "kind", ["seq"])
+
+
+@query(f"SELECT doc_id, count(*) AS n_items, count(*) FILTER (len(flags) > 0) AS n_blocked, count(*) FILTER (len(flags) > 0) >= 2 AND count(*) FILTER (len(flags) > 0) >= 0.5 * count(*) AS gated FROM {ITEMS} GROUP BY doc_id")
+def doc_gate(spark, sf):
+    return evidence.ratio_gate(_items(spark, sf), ["doc_id"], F.size("flags") > 0, 2, 0.5)
+
+
+@query(f"SELECT flag, count(*) AS n FROM (SELECT unnest(CASE WHEN len(flags) = 0 THEN ['clean'] ELSE flags END) AS flag FROM {ITEMS}) GROUP BY flag")
+def flag_histogram(spark, sf):
+    return _items(spark, sf).select(F.explode(F.when(F.size("flags") == 0, F.array(F.lit("clean"))).otherwise(F.col("flags"))).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT coalesce(kind, 'none') AS kind, count(*) AS n_items, count(*) FILTER (len(flags) = 0) AS n_clean, count(*) FILTER (len(flags) > 0) AS n_blocked, count(DISTINCT doc_id) AS n_docs FROM {ITEMS} GROUP BY 1")
+def quality_summary(spark, sf):
+    return _items(spark, sf).groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n_items"), F.count_if(F.size("flags") == 0).alias("n_clean"), F.count_if(F.size("flags") > 0).alias("n_blocked"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"""SELECT doc_id, seq, score, CASE WHEN bad OR parse < 0.6 OR nw <= 4 OR score < 0.55 THEN 'quarantined' WHEN score < 0.8 OR quality < 0.9 OR parse < 0.9 OR len(flags) > 0 THEN 'review' ELSE 'trusted' END AS label FROM (SELECT *, round(least(quality * parse, CASE WHEN parse < 0.6 THEN 0.3 ELSE 1 END, CASE WHEN nw <= 4 THEN 0.45 ELSE 1 END, CASE WHEN bad THEN 0.2 WHEN len(flags) > 0 THEN 0.78 ELSE 1 END), 3)::DOUBLE AS score
+FROM (SELECT *, CAST(0.5 + (doc_id % 6) / 10.0 AS DOUBLE) AS parse, CAST(CASE WHEN len(flags) = 0 THEN 1.0 ELSE 0.2 END AS DOUBLE) AS quality, len(flags) > 0 AS bad, len(regexp_extract_all(sentence, '[^ \\t\\n\\x0b\\f\\r]+')) AS nw FROM {ITEMS}))""")
+def trust_scores(spark, sf):
+    i = _items(spark, sf).withColumns({"parse": 0.5 + (F.col("doc_id") % 6) / 10.0, "quality": F.when(F.size("flags") == 0, 1.0).otherwise(0.2)})
+    t = evidence.trust(F.col("quality"), F.col("parse"), F.col("flags"), F.array().cast("array<string>"), F.lit(1), evidence.words(F.col("sentence")))
+    return i.select("doc_id", "seq", t.alias("t")).select("doc_id", "seq", "t.score", "t.label")
+
+
+@query("""SELECT source, line, count(*) AS n_pages FROM (SELECT source, doc_id, unnest(list_distinct(list_concat(l[:2], l[-2:]))) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE line <> '' GROUP BY source, line HAVING count(*) >= 2""")
+def repeated_edge_lines(spark, sf):
+    pages = _t(spark, sf, "documents").select("source", F.split("text", "\n").alias("lines"))
+    return evidence.repeated_edge_lines(pages, "source")
+
+
+# --- claims, reports and audits ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT 'source_gate' AS stage, CAST(page_id AS BIGINT) AS item, reason FROM {GATED} WHERE NOT starts_with(reason, 'allowed') UNION ALL SELECT 'evidence_quality', doc_id, array_to_string(flags, ',') FROM {ITEMS} WHERE len(flags) > 0")
+def rejection_log(spark, sf):
+    gate = source_gate(spark, sf).where("not allowed").select(F.lit("source_gate").alias("stage"), F.col("page_id").alias("item"), "reason")
+    bad = _items(spark, sf).where("size(flags) > 0").select(F.lit("evidence_quality").alias("stage"), F.col("doc_id").alias("item"), F.array_join("flags", ",").alias("reason"))
+    return gate.unionByName(bad, allowMissingColumns=True)
+
+
+@query("""SELECT doc_id, array_to_string(c, '; ') AS citations, len(c) AS n FROM (SELECT doc_id, ['P' || (doc_id % 7 + 1) || ' p' || (doc_id % 5 + 1), 'P' || (doc_id % 3 + 1) || ' p2'] AS c0, CASE WHEN c0[1] = c0[2] THEN [c0[1]] ELSE c0 END AS c FROM documents)""")
+def citation_keys(spark, sf):
+    d = F.col("doc_id")
+    s = F.concat(F.lit("x ["), (d % 7 + 1).cast("string"), F.lit(", p. "), (d % 5 + 1).cast("string"), F.lit("; P"), (d % 3 + 1).cast("string"), F.lit(" p2; bad]. y"))
+    return _t(spark, sf, "documents").select("doc_id", text.citations(s).alias("c")).select("doc_id", F.array_join("c", "; ").alias("citations"), F.size("c").cast("long").alias("n"))
+
+
+@query(f"SELECT kind, count(*) AS claim_count, count(DISTINCT doc_id) AS papers, min(doc_id) AS first_paper FROM {ITEMS} WHERE kind IS NOT NULL AND len(flags) = 0 GROUP BY kind")
+def clusters(spark, sf):
+    return _items(spark, sf).where("kind is not null and size(flags) = 0").groupBy("kind").agg(F.count("*").alias("claim_count"), F.countDistinct("doc_id").alias("papers"), F.min("doc_id").alias("first_paper"))
+
+
+@query(f"SELECT doc_id, bool_or(regexp_matches(sentence, '{NEGATED}', 'i')) AND bool_or(NOT regexp_matches(sentence, '{NEGATED}', 'i') AND regexp_matches(sentence, '{POSITIVE}', 'i')) AS conflict, count(*) AS n FROM {SENTS} GROUP BY doc_id")
+def group_conflicts(spark, sf):
+    neg, pos = F.col("sentence").rlike("(?i)" + NEGATED), F.col("sentence").rlike("(?i)" + POSITIVE)
+    return sentence_split(spark, sf).groupBy("doc_id").agg((F.bool_or(neg) & F.bool_or(~neg & pos)).alias("conflict"), F.count("*").alias("n"))
+
+
+@query(f"SELECT source, 'C' || row_number() OVER (PARTITION BY source ORDER BY kind, doc_id, seq) AS claim_id, doc_id, seq, kind FROM {ITEMS} JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE kind IN ('limitation', 'result') AND len(flags) = 0")
+def claim_ids(spark, sf):
+    i = _items(spark, sf).where("kind in ('limitation', 'result') and size(flags) = 0").select("doc_id", "seq", "kind").join(_t(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return i.select("source", F.concat(F.lit("C"), F.row_number().over(W.partitionBy("source").orderBy("kind", "doc_id", "seq"))).alias("claim_id"), "doc_id", "seq", "kind")
+
+
+CLAIM = "list_distinct(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9]+'), lambda t: length(t) >= 3))"
+
+
+@query(f"""SELECT s.doc_id, s.seq, len(list_intersect(c, b.t)) AS overlap, len(c) AS n_terms, len(list_intersect(c, b.t)) >= CASE WHEN len(c) <= 3 THEN 1 ELSE 2 END AS supported
+FROM (SELECT doc_id, seq, {CLAIM} AS c FROM {SENTS}) s JOIN (SELECT item_id, {TOK.format(c='text')} AS t FROM benchmark) b ON b.item_id = s.doc_id % 40""")
+def lexical_support(spark, sf):
+    claims = sentence_split(spark, sf).select("doc_id", "seq", text.tokens(F.col("sentence")).alias("c"), (F.col("doc_id") % 40).alias("item_id"))
+    j = claims.join(_t(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t")), "item_id")
+    n, k = F.size("c"), F.size(F.array_intersect("c", "t"))
+    return j.select("doc_id", "seq", k.cast("long").alias("overlap"), n.cast("long").alias("n_terms"), (k >= F.when(n <= 3, 1).otherwise(2)).alias("supported"))
+
+
+@query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+def prev_speaker(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")).alias("previous"))
+
+
+@query("SELECT user_id, event_id, CAST(sum(CASE WHEN p IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS island FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")
+def section_islands(spark, sf):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _t(spark, sf, "events").select("user_id", "event_id", "ts", "event_type").withColumn("p", F.lag("event_type").over(w))
+    return e.select("user_id", "event_id", F.sum(F.when(~F.col("p").eqNullSafe(F.col("event_type")), 1).otherwise(0)).over(w).alias("island"))
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events")
+def carry_forward(spark, sf):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return _t(spark, sf, "events").select("user_id", "event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(l_shipdate < p, false) AS out_of_order FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM lineitem)")
+def plan_order_violations(spark, sf):
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.col("l_shipdate") < F.lag("l_shipdate").over(w), F.lit(False)).alias("out_of_order"))
+
+
+@query("""SELECT o_orderkey, 'P' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS paper, CAST(coalesce(n, 0) AS BIGINT) AS n_evidence FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def cited_evidence(spark, sf):
+    n = _t(spark, sf, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    label = F.concat(F.lit("P"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    return _t(spark, sf, "orders").select("o_orderkey", label.alias("paper")).join(n, "o_orderkey", "left").select("o_orderkey", "paper", F.coalesce("n", F.lit(0)).alias("n_evidence"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n_evidence > 0 THEN 'SUPPORTED' ELSE 'MISSING' END AS status, n_evidence FROM (SELECT o_orderkey, CAST(coalesce(n, 0) AS BIGINT) AS n_evidence FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey)")
+def claim_audit(spark, sf):
+    return cited_evidence(spark, sf).select("o_orderkey", F.when(F.col("n_evidence") > 0, "SUPPORTED").otherwise("MISSING").alias("status"), "n_evidence")
+
+
+@query("SELECT l_orderkey, round(min(l_discount), 6)::DOUBLE AS min_quality, round(min(l_tax), 6)::DOUBLE AS min_parse, count(*) AS evidence_count, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS evidence_types FROM lineitem GROUP BY l_orderkey")
+def cited_minimums(spark, sf):
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.min("l_discount"), 6).alias("min_quality"), F.round(F.min("l_tax"), 6).alias("min_parse"), F.count("*").alias("evidence_count"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("evidence_types"))
+
+
+@query("""SELECT doc_id, CASE WHEN b THEN 'blocked' WHEN c AND s THEN 'publishable' ELSE 'needs_review' END AS verdict, CAST(least(100, CASE WHEN doc_id % 7 = 0 THEN 40 ELSE 100 END, CASE WHEN doc_id % 5 = 0 THEN 45 ELSE 100 END, CASE WHEN doc_id % 4 = 0 THEN 70 ELSE 100 END, CASE WHEN NOT b AND NOT (c AND s) THEN 85 ELSE 100 END) AS INTEGER) AS score
+FROM (SELECT doc_id, doc_id % 7 = 0 OR doc_id % 5 = 0 AS b, doc_id % 3 = 0 AS c, doc_id % 2 = 0 AS s FROM documents)""")
+def report_trust(spark, sf):
+    d = F.col("doc_id")
+    blocked, good = (d % 7 == 0) | (d % 5 == 0), (d % 3 == 0) & (d % 2 == 0)
+    caps = [F.when(d % 7 == 0, 40).otherwise(100), F.when(d % 5 == 0, 45).otherwise(100), F.when(d % 4 == 0, 70).otherwise(100), F.when(~blocked & ~good, 85).otherwise(100)]
+    return _t(spark, sf, "documents").select("doc_id", F.when(blocked, "blocked").when(good, "publishable").otherwise("needs_review").alias("verdict"), F.least(F.lit(100), *caps).alias("score"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
