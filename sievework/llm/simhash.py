@@ -142,13 +142,12 @@ def _gather(bits: list[int]):
 
 def keyed(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     """fp, probe, level, bucket: every fingerprint under its partition's value, and as a probe under those within its threshold."""
-    one = F.lit(1).cast("long")
     entries = []
     for k, (bits, t) in enumerate(plan):
         own = _gather(bits)
         entries.append(F.array(F.struct(F.lit(k).alias("part"), own.alias("value"), F.lit(False).alias("probe"))))
         if t:
-            entries.append(F.transform(F.sequence(F.lit(0), F.lit(len(bits) - 1)), lambda i, own=own, k=k: F.struct(F.lit(k).alias("part"), F.call_function("shiftleft", one, i).bitwiseXOR(own).alias("value"), F.lit(True).alias("probe"))))
+            entries.append(F.array(*[F.struct(F.lit(k).alias("part"), own.bitwiseXOR(F.lit(1 << i).cast("long")).alias("value"), F.lit(True).alias("probe")) for i in range(len(bits))]))
     return fps.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", F.col("e.probe").alias("probe"), F.xxhash64("e.part", "e.value").alias("bucket"))
 
 
