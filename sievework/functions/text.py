@@ -35,7 +35,7 @@ def tokens(c: Column, stop: list[str] | None = None, least: int = 3) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences, cut after . ! or ? and white space; trimmed, empty ones left out."""
     cut = F.split(F.regexp_replace(c, r"([.!?])[ \t\n\r\f]+", "$1" + CUT), CUT)
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -95,7 +95,7 @@ def inverted_index_text(index: Column) -> Column:
 def string_list(c: Column) -> Column:
     """A JSON list of strings as an array: trimmed, without empty ones; anything else is an empty array."""
     got = F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
-    return F.filter(F.transform(got, F.trim), lambda x: F.coalesce(x != "", F.lit(False)))
+    return F.filter(F.transform(got, lambda s: F.trim(s)), lambda x: F.coalesce(x != "", F.lit(False)))
 
 
 def join_unique(c: Column) -> Column:
