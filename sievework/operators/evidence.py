@@ -62,13 +62,28 @@ def ratio_gate(df: DataFrame, keys: list[str], blocked: Column, least: int, shar
     return out.withColumn("gated", (F.col("n_blocked") >= least) & (F.col("n_blocked") >= share * F.col("n_items")))
 
 
-def trust(quality: Column, parse: Column, flags_: Column, parse_flags: Column, page: Column, n_words: Column) -> Column:
-    """struct(score, label, reasons): a product of qualities under caps, the label by score and reasons."""
-    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    bad = F.size(F.array_intersect(flags_, F.array(*[F.lit(x) for x in QUARANTINE]))) > 0
+def trust(quality: Column, parse: Column, flags_: Column, parse_flags: Column, page: Column, n_words: Column, label: Column | None = None, found: Column | None = None) -> Column:
+    """struct(score, label, reasons): a product of qualities under caps, the label by score and reasons.
+
+    ``label`` is the stored quality label (default clean); ``found`` are the flags that the text has when it is looked at again:
+    a text stored as clean that has some now is quarantined.
+    """
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0))))
+    quality, parse, strings = unit(quality), unit(parse), "array<string>"
+    label = F.lit("clean") if label is None else label
+    found = F.array().cast(strings) if found is None else found
+    severe = F.array(*[F.lit(x) for x in QUARANTINE])
+    unclean, stale = label != "clean", (label == "clean") & (F.size(found) > 0)
+    fixed = [
+        F.when(unclean, F.array(F.concat(F.lit("quality_label:"), label))).when(stale, F.concat(F.array(F.lit("legacy_quality_filter")), found)),
+        *[F.when(hit, F.array(F.lit(name))) for name, hit in (("lower_quality_score", quality < 0.9), ("lower_parse_confidence", parse < 0.9), ("low_parse_confidence", parse < 0.6), ("missing_page_anchor", page <= 0), ("sentence_incomplete", n_words <= 4))],
+        F.transform(flags_, lambda f: F.when(F.array_contains(severe, f), f).otherwise(F.concat(F.lit("quality_flag:"), f))),
+        F.transform(parse_flags, lambda f: F.concat(F.lit("parse_flag:"), f)),
+    ]
+    reasons = F.array_distinct(F.flatten(F.array_compact(F.array(*[F.coalesce(x, F.array().cast(strings)) for x in fixed]))))
+    bad = unclean | stale | (F.size(F.array_intersect(flags_, severe)) > 0)
     caps = [F.when(parse < 0.6, 0.3).otherwise(1.0), F.when(page <= 0, 0.4).otherwise(1.0), F.when(n_words <= 4, 0.45).otherwise(1.0), F.when(bad, 0.2).when((F.size(flags_) > 0) | (F.size(parse_flags) > 0), 0.78).otherwise(1.0)]
-    score = F.round(F.least(unit(quality) * unit(parse), *caps), 3)
-    reasons = F.array_distinct(F.concat(F.array_compact(F.array(F.when(quality < 0.9, F.lit("low_quality")), F.when((parse < 0.9) & (parse >= 0.6), F.lit("reduced_parse_confidence")), F.when(parse < 0.6, F.lit("low_parse_confidence")), F.when(page <= 0, F.lit("missing_page")), F.when(n_words <= 4, F.lit("short_text")))), flags_, parse_flags))
+    score = F.round(F.least(quality * parse, *caps), 3)
     quarantined = bad | (parse < 0.6) | (page <= 0) | (n_words <= 4) | (score < 0.55)
     return F.struct(score.alias("score"), F.when(quarantined, "quarantined").when((score < 0.8) | (F.size(reasons) > 0), "review").otherwise("trusted").alias("label"), reasons.alias("reasons"))
 
