@@ -43,17 +43,33 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+#: A citation inside a bracket group: ``P<n> p<page>``, or as readers see it, ``<n>, p. <page>``.
+CITED = r"(?:P\d+\s+p\d+|\d+,?\s+[pP]\.?\s*\d+)"
+
+
 def citations(c: Column) -> Column:
     """Distinct citation keys ``P<n> p<page>`` of bracket groups, in order; ``<n>, p. <page>`` is put in that form."""
     inner = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"\[([^\]]+)\]"), 1), lambda g: F.split(g, ";")))
-    short = r"^(\d+), p\. (\d+)$"
-    key = F.transform(inner, lambda x: F.regexp_replace(F.trim(x), short, "P$1 p$2"))
+    short = r"^(\d+),? [pP]\.? ?(\d+)$"
+    key = F.transform(inner, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), short, "P$1 p$2"))
     return F.array_distinct(F.filter(key, lambda x: x.rlike(r"^P\d+ p\d+$")))
 
 
 def strip_citations(c: Column) -> Column:
-    """The text without bracket groups that start with a citation."""
-    return F.trim(F.regexp_replace(c, r" *\[(P\d+ p\d+|\d+, p\. \d+)[^\]]*\]", ""))
+    """The text without bracket groups that hold a citation."""
+    return F.trim(F.regexp_replace(c, rf"\s*\[(?:[^\];]*;)*\s*{CITED}\s*(?:;[^\]]*)?\]", ""))
+
+
+def sort_citations(c: Column) -> Column:
+    """Citation keys by paper and page as numbers; malformed ones last, by text."""
+    part = lambda x, i: F.coalesce(F.regexp_extract(x, r"^P(\d+)\s+p(\d+)$", i).try_cast("long"), F.lit(999999))
+    return F.transform(F.array_sort(F.transform(c, lambda x: F.struct(part(x, 1).alias("a"), part(x, 2).alias("b"), x.alias("c")))), lambda x: x["c"])
+
+
+def display_citations(c: Column) -> Column:
+    """Citation keys as readers see them in one bracket, ``[1, p. 2; 3, p. 4]``; empty if there are none."""
+    shown = F.transform(F.filter(F.array_distinct(c), lambda x: x.rlike(r"^P\d+\s+p\d+$")), lambda x: F.regexp_replace(x, r"^P(\d+)\s+p(\d+)$", "$1, p. $2"))
+    return F.when(F.size(shown) > 0, F.concat(F.lit("["), F.array_join(shown, "; "), F.lit("]"))).otherwise("")
 
 
 def normalize_doi(c: Column) -> Column:
