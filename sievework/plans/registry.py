@@ -465,8 +465,15 @@ def report_trust(spark, sf):
 
 
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
+
+
+def _load() -> None:
+    """Registers the queries of the other modules, which build on this one."""
+    from . import review  # noqa: F401
