@@ -140,15 +140,15 @@ def _gather(bits: list[int]):
     return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long")), i) for i, b in enumerate(bits)])
 
 
-def keyed(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """fp, probe, level, bucket: every fingerprint under its partition's value, and as a probe under those within its threshold."""
+def keyed(fps: DataFrame, plan: list[tuple[list[int], int]], also: tuple[str, ...] = (), first: int = 0) -> DataFrame:
+    """fp, the columns in ``also``, probe, bucket: every fingerprint under its partition's value, and as a probe under those within its threshold."""
     entries = []
-    for k, (bits, t) in enumerate(plan):
+    for k, (bits, t) in enumerate(plan, first):
         own = _gather(bits)
         entries.append(F.array(F.struct(F.lit(k).alias("part"), own.alias("value"), F.lit(False).alias("probe"))))
         if t:
             entries.append(F.array(*[F.struct(F.lit(k).alias("part"), own.bitwiseXOR(F.lit(1 << i).cast("long")).alias("value"), F.lit(True).alias("probe")) for i in range(len(bits))]))
-    return fps.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", F.col("e.probe").alias("probe"), F.xxhash64("e.part", "e.value").alias("bucket"))
+    return fps.select("fp", *also, F.explode(F.concat(*entries)).alias("e")).select("fp", *also, F.col("e.probe").alias("probe"), F.xxhash64("e.part", "e.value").alias("bucket"))
 
 
 def _forest(limit: int):
@@ -194,14 +194,14 @@ def _forest(limit: int):
     return step
 
 
-def _blocks(fps: DataFrame, d: int, limit: int) -> DataFrame:
+def _blocks(fps: DataFrame, d: int, limit: int, also: tuple[str, ...] = ()) -> DataFrame:
     """Every fingerprint under each choice of d - limit out of d blocks of bits: a pair within the limit agrees on one of them."""
     cuts = [x.tolist() for x in np.array_split(np.arange(BITS), d)]
     chosen = [[b for i in c for b in cuts[i]] for c in combinations(range(d), d - limit)]
     masks = [sum(1 << b for b in bits) for bits in chosen]
     signed = np.array(masks, np.uint64).view(np.int64).tolist()
-    key = F.explode(F.transform(F.array(*[F.lit(x) for x in signed]), lambda mask: F.xxhash64(mask, F.col("fp").bitwiseAND(mask))))
-    return fps.select("fp", F.lit(False).alias("probe"), key.alias("bucket"))
+    key = F.explode(F.transform(F.array(*[F.lit(x) for x in signed]), lambda mask: F.xxhash64(mask, F.col("fp").bitwiseAND(mask), *also[:1])))
+    return fps.select("fp", *also, F.lit(False).alias("probe"), key.alias("bucket"))
 
 
 def links(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
@@ -246,18 +246,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     named = classes.join(ids, "class").select("fp", "class", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class", *also)
-
-
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The documents with one of each near-duplicate group: that of the smallest doc_id (null last), and of wholly equal rows one."""
-    cols, marks = docs.columns, ("__mark_a", "__mark_b")
-    parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
-    marked = docs.withColumns({marks[0]: F.xxhash64(*parts), marks[1]: F.xxhash64(F.lit(1), *parts)})
-    near = near_duplicates(marked, also=marks, **kw)
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", *marks)
-    first = near.groupBy("class").agg(F.min(order).alias("f")).select(*[F.col(f"f.{m}").alias(m) for m in marks]).distinct()
-    copies = near.groupBy(*marks).agg(F.count("*").alias("__copies"))
-    chosen = cut(first.join(copies, list(marks)))
-    single = marked.join(chosen.where("__copies = 1"), list(marks), "left_semi").select(*cols)
-    several = marked.join(chosen.where("__copies > 1"), list(marks), "left_semi").groupBy(*marks).agg(F.first(F.struct(*cols)).alias("r")).select("r.*")
-    return single.unionByName(several)

@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import bytebpe, langid, license, packing, piece_codec, quality, queries, sharding, simhash, tokencount, topk, toxicity
+from sievework.llm import bytebpe, langid, license, packing, piece_codec, quality, queries, sharding, simhash, simhash_groups, tokencount, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, score double, bin long"
@@ -103,7 +103,7 @@ def test_simhash(spark, odd, none, docs):
         got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect())
         assert got == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = simhash_groups.keep_one(odd)
     assert kept.columns == odd.columns
     assert len({r.doc_id for r in kept.collect()} & {1, 2, 3}) == 1 and kept.where("doc_id = 10").count() == 1
 
@@ -125,6 +125,39 @@ def test_simhash_crowded_buckets(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_simhash_groups(spark, none):
+    g = random.Random(9)
+    bases = [[f"w{g.randrange(4000)}" for _ in range(g.randrange(40, 400))] for _ in range(60)]
+    rows = [" ".join(b) for b in bases]
+    for b in bases[:30]:
+        for n in (1, 1, 2, 8):  # words changed: from copies to texts that are no longer alike
+            other = list(b)
+            for _ in range(n * len(b) // 100 + 1):
+                other[g.randrange(len(b))] = f"x{g.randrange(9999)}"
+            rows.append(" ".join(other))
+    rows += [rows[0].upper(), rows[1], "one two", "two one", "one  TWO", "", None]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(rows)], "doc_id long, text string, node string")
+    sets = [simhash_groups.shingles(simhash_groups._split(t)) for t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for k in range(i):
+            if simhash_groups.similarity(sets[i], sets[k]) >= 0.8 and root(i) != root(k):
+                parent[max(root(i), root(k))] = min(root(i), root(k))
+    want = {i for i in range(len(rows)) if root(i) == i}
+    for crowd in (simhash_groups.CROWD, 8):
+        kept = simhash_groups.keep_one(docs, crowd=crowd)
+        got = {r.doc_id for r in kept.collect()}
+        assert kept.columns == docs.columns
+        assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want))
+    assert simhash_groups.keep_one(none).count() == 0
+
+
 def test_packing(spark, odd, none, docs):
     from tokenizers import Tokenizer
 
