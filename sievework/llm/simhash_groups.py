@@ -1,17 +1,16 @@
-"""Groups of near-duplicate texts by resemblance: SimHash finds the candidates, five-word shingles decide.
-
-A text's signature is four 64-bit SimHashes of its distinct words. Two texts are candidates if one of the four
-differs in at most ``LIMIT`` bits and all four together in at most ``WIDE``; so every pair within 4 * LIMIT + 3 of
-the 256 bits is one, and most pairs of more. Each block is searched as in ``simhash``: partitions of correlated
-bits with thresholds by dynamic programming, probes, verification. Of each bucket's candidates a task keeps a
-minimum spanning forest of the signatures' distances, then that of the links left over, and so on, ``FORESTS`` in
-all: every link in groups of up to eight texts, and a number of links linear in the texts in any group. These are
-verified exactly: the texts are one group if their sets of five-word shingles have a Jaccard similarity of at
-least ``least``.
-
-Crowded buckets first give up the texts within ``TIGHT`` bits of their least member, which are linked to it; the
-rest is keyed anew under more bits. So of many thousands of near copies no task holds all. What can be lost is a
-link in a larger group all of whose other paths, nearer by the signature, fail by their shingles. Texts of one
+"""Groups of near-duplicate texts by resemblance: minima of shingle hashes find the candidates, five-word shingles decide.
+
+A text's signature is the minima of its shingles' hashes under ``BANDS`` * ``ROWS`` permutations. Two texts are
+candidates if all minima of a band are equal and at least ``CLOSE`` * ``least`` of the signature's bytes; of pairs at a
+Jaccard similarity of exactly 0.8 about 3 in 100,000 are not, of nearer pairs fewer, whatever was added, cut off or
+edited. Two texts are one group if their sets of shingles have a Jaccard similarity of at least ``least``, which is
+verified exactly.
+
+Of the texts of a band's bucket only pairs in different groups are verified, and all of those are, in rounds that
+join groups before the next: first each crowded bucket's texts with the one most like the bucket's commonest minima,
+then those of all buckets with their 4 and 32 such texts, at last all pairs left. No candidate is passed over, so
+groups are those of all candidates' links; where no text of a crowd is alike, that takes all its candidate pairs.
+Crowded buckets are cut into parts and each two parts meet in a task, so no task holds a whole crowd. Texts of one
 sequence of lower-case words are one text (by a 64-bit hash).
 
 Null and empty texts are equal to each other. Texts of fewer than five words have one shingle, the whole. Repeated
@@ -22,50 +21,32 @@ table gives an empty result. Other columns are passed through.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, map_text, small_side
-from .simhash import _blocks, allot, bit_statistics, components, keyed
+from .common import cut, map_text, small_side
+from .simhash import components
 
-#: SimHashes in a signature, and bits in which one of them may differ.
-BLOCKS, LIMIT = 4, 4
-#: Bits of 256 in which candidates may differ, and within which a crowded bucket's texts are linked to its least one.
-WIDE, TIGHT = 44, 15
-#: Edge-disjoint spanning forests that are kept of a bucket's candidates.
-FORESTS = 4
+#: Bands of a signature and minima in a band; a pair alike at J agrees on a band with 1 - (1 - J**ROWS)**BANDS.
+BANDS, ROWS = 20, 4
+#: Share of ``least`` in which two candidates' signatures agree.
+CLOSE = 0.75
 #: Words in a shingle, and the least similarity of near duplicates.
 SHINGLE, LEAST = 5, 0.8
-#: Texts in one bucket beyond which it is thinned and split.
-CROWD = 1024
-FPS = tuple(f"f{k}" for k in range(BLOCKS))
+#: Texts in one bucket beyond which it is cut into parts; texts of each bucket that meet the others, round by round.
+CROWD, PIVOTS = 1024, (4, 32, None)
+#: Links of one text that are verified in one task, and a crowded bucket's texts whose commonest minima are taken.
+LINKS, SAMPLE = 256, 256
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _digest(word: bytes) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(word, 1) + xxhash.xxh3_128_digest(word, 2)
-
-
-def signature(words: set[bytes], digest=_digest) -> np.ndarray:
-    """Four 64-bit SimHashes of a set of words; zeros for none."""
-    if not words:
-        return np.zeros(BLOCKS, np.int64)
-    h = np.frombuffer(b"".join([digest(w) for w in words]), np.uint8).reshape(-1, 8 * BLOCKS)
-    ones = np.zeros(64 * BLOCKS, np.int64)
-    for lo in range(0, len(h), 255):
-        ones += np.unpackbits(h[lo : lo + 255], axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
-
-
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles; fewer words than k are one shingle, none none."""
     import xxhash
@@ -82,111 +63,112 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def signature(own: np.ndarray) -> np.ndarray:
+    """The least hash of a set of shingles under each permutation."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for lo in range(0, len(own), 1024):
+        low = np.minimum(low, ((own[lo : lo + 1024] ^ _MIX[0][:, None]) * _MIX[1][:, None]).min(1))
+    return low
+
+
+def _signatures(k: int):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            nodes, bands, sigs = [], [], []
+            for text in b.column(0).to_pylist():
+                words = _split(text)
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                low = signature(shingles(words, k))
+                bands.append(np.array([xxhash.xxh3_64_intdigest(x.tobytes(), band) for band, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
+                sigs.append((low >> np.uint64(20)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), *b.columns[1:]], names=["node", "bands", "sig", *b.schema.names[1:]])
+
+    return step
+
 
-    memo = Memo(_digest)
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _middle(sigs: np.ndarray) -> np.ndarray:
+    """The commonest byte at each place of signatures."""
+    return np.array([np.bincount(c).argmax() for c in sigs.T], np.uint8)
+
+
+def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, rows = [], []
-        for text in b.column(0).to_pylist():
-            words = _split(text)
-            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-            rows.append(signature(set(words), memo.__getitem__))
-        sig = np.array(rows, np.int64).reshape(-1, BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(BLOCKS)], *b.columns[1:]], names=["node", *FPS, *b.schema.names[1:]])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_middle(np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS)).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["bucket", "other"])
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64))
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, signatures, give way to the number of bytes in which they agree."""
+    for b in batches:
+        same = (_bytes(b.column(b.num_columns - 2)) == _bytes(b.column(b.num_columns - 1))).sum(1)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(same.astype(np.int32))], names=[*b.schema.names[:-2], "same"])
 
 
-def _nearest(limit: int, wide: int):
-    """Of buckets sorted by their key: ``FORESTS`` disjoint spanning forests, of least distances, of the candidates in them."""
+def _meet(most: int | None, close: float):
+    """Of cells sorted by their key: the candidates in different groups, each cell's ``most`` middle texts with all others."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, *sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        def pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, part: np.ndarray, mixed: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            rank = np.arange(len(key)) - np.repeat(starts, sizes)
             at, lag = np.arange(len(key)), 1
+            if most is not None:
+                order = at.copy()
+                for lo, n in zip(starts[sizes > most + 1].tolist(), sizes[sizes > most + 1].tolist()):
+                    own = sig[lo : lo + n]
+                    order[lo : lo + n] = lo + np.argsort(-(own == _middle(own)).sum(1), kind="stable")
+                node, group, part, mixed, sig = (x[order] for x in (node, group, part, mixed, sig))
+                at = at[rank < most]
             while len(at):
                 at = at[at + lag < len(key)]
                 at = at[key[at] == key[at + lag]]
-                near = at[(_differ(fp[at], fp[at + lag]) <= limit) & ~(probe[at] & probe[at + lag])]
-                near = near[node[near] != node[near + lag]]
-                far = sum(_differ(s[near], s[near + lag]).astype(np.int32) for s in sig)
-                ok = far <= wide
-                a, b = node[near[ok]], node[near[ok] + lag]
-                found.append((far[ok], np.minimum(a, b), np.maximum(a, b)))
+                near = at[(group[at] != group[at + lag]) & (~mixed[at] | (part[at] != part[at + lag]))]
+                near = near[(sig[near] == sig[near + lag]).sum(1) >= close]
+                if len(near):
+                    a, b = node[near], node[near + lag]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 lag += 1
-            if not found:
-                return
-            far, a, b = (np.concatenate(x) for x in zip(*found))
-            order, kept = np.lexsort((b, a, far)), []
-            forests: list[dict[int, int]] = [{} for _ in range(FORESTS)]
-
-            def root(parent: dict[int, int], x: int) -> int:
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(up, up)
-                return x
-
-            seen = set()
-            for i, p, q in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
-                if (p, q) in seen:
-                    continue
-                seen.add((p, q))
-                for parent in forests:
-                    if (x := root(parent, p)) != (y := root(parent, q)):
-                        parent[x] = y
-                        kept.append(i)
-                        break
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], _bytes(batch.columns[-1])]
             new = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
             ready = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
             if ready:
                 yield from pairs(*(x[:ready] for x in new))
             rest = [x[ready:] for x in new]
-        if rest is not None:
+        if rest is not None and len(rest[0]):
             yield from pairs(*rest)
 
     return step
 
 
-def _apart(names: tuple[str, ...] = FPS, other: str = "p") -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"{other}.{f}"))) for f in names])
+def _cells(rows: DataFrame, most: int | None, close: float, crowd: int) -> DataFrame:
+    """a, b (a < b): candidates of the buckets in ``rows``. A crowded bucket's parts meet two by two."""
+    parts = F.when(F.col("n") > crowd, F.ceil(2 * F.col("n") / crowd)).otherwise(1).cast("int")
+    cells = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = cells.select("bucket", "node", "group", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "sig")
+    key = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    cells = cells.select(key.alias("key"), "node", "group", "part", (F.col("part") != F.col("other")).alias("mixed"), "sig")
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(most, close), "a long, b long")
 
 
-def candidates(nodes: DataFrame, limit: int = LIMIT, wide: int = WIDE, tight: int = TIGHT, crowd: int = CROWD) -> DataFrame:
-    """a, b (a < b): links of least distance that connect the candidates. nodes: distinct node and its signature."""
-    also = ("block", "node", *FPS)
-    rows, found, edges = None, [], []
-    for k, f in enumerate(FPS):
-        one = nodes.select(F.col(f).alias("fp"), F.lit(k).alias("block"), "node", *FPS)
-        part = keyed(one, allot(*bit_statistics(one), limit), also, 100 * k)
-        rows = part if rows is None else rows.unionByName(part)
-    finer = iter((6, 8, 12, 16))
-    while True:
-        crowded = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", *FPS)).alias("p")).where(F.col("n") > crowd))
-        if crowded.isEmpty():
-            break
-        found.append(rows.join(crowded.select("bucket"), "bucket", "left_anti"))
-        big = rows.join(crowded.drop("n"), "bucket")
-        edges.append(big.where((_apart() <= tight) & (F.col("node") != F.col("p.node"))).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")))
-        left = cut(big.where(_apart() > tight).drop("p"))
-        before, after = crowded.agg(F.sum("n")).first()[0], left.count()
-        if after <= before // 2:
-            rows = left
-        elif (d := next(finer, None)) is not None:
-            rows = cut(_blocks(left.select("fp", *also).distinct(), d, limit, also))
-        else:
-            rows = left
-            break
-    every = reduce(DataFrame.unionByName, [*found, rows])
-    every = every.select("bucket", "fp", "probe", "node", *FPS).repartition("bucket").sortWithinPartitions("bucket")
-    return reduce(DataFrame.unionByName, [*edges, every.mapInArrow(_nearest(limit, wide), "a long, b long")]).distinct()
+def _stars(rows: DataFrame, close: float) -> DataFrame:
+    """a, b (a < b): of each bucket in ``rows``, the candidates of the text most like the commonest bytes of a sample's signatures."""
+    some = rows.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    middles = map_text(some.groupBy("bucket").agg(F.collect_list("sig")), _middles, "bucket long, other binary")
+    like = map_text(rows.join(small_side(middles), "bucket").select("bucket", "node", "sig", "other"), _agreement, "bucket long, node long, same int")
+    best = like.groupBy("bucket").agg(F.max(F.struct("same", "node")).alias("m")).select("bucket", "m.node")
+    pivots = rows.join(small_side(best), ["bucket", "node"]).select("bucket", F.col("node").alias("pivot"), F.col("group").alias("own"), F.col("sig").alias("other"))
+    met = rows.join(small_side(pivots), "bucket").where(F.col("group") != F.col("own"))
+    near = map_text(met.select("pivot", "node", "sig", "other"), _agreement, "pivot long, node long, same int").where(F.col("same") >= close)
+    return near.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
 
 
 def _shingle_sets(k: int):
@@ -206,25 +188,74 @@ def _alike(least: float):
     return step
 
 
-def verified(edges: DataFrame, texts: DataFrame, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The edges whose two texts are alike by their shingles. texts: node and text, of the nodes that edges name."""
-    own = cut(map_text(texts.select("text", "node"), _shingle_sets(k), "node long, own binary").groupBy("node").agg(F.first("own").alias("own")))
-    both = edges.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+def _with_sets(edges: DataFrame, own: DataFrame, end: str, name: str) -> DataFrame:
+    """edges with the shingles of the text at one end; a text of many links is dealt over tasks of ``LINKS`` links."""
+    copies = edges.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count("*") / LINKS).cast("int").alias("copies"))
+    dealt = edges.join(small_side(copies.where("copies > 1")).withColumnRenamed("node", end), end, "left")
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("a", "b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    each = own.join(copies, "node").select(F.col("node").alias(end), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("deal"), F.col("own").alias(name))
+    return dealt.join(each, [end, "deal"]).drop("deal")
+
+
+def verified(edges: DataFrame, own: DataFrame, least: float = LEAST) -> DataFrame:
+    """The edges whose two texts are alike by their shingles. own: node and own, its shingles."""
+    both = _with_sets(_with_sets(edges, own, "a", "x"), own, "b", "y")
     return map_text(both.select("a", "b", "x", "y"), _alike(least), "a long, b long")
 
 
+def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+    """node, root of every node alike with another. nodes: distinct node, bands, sig; shingle_sets(nodes): their shingles, as ``verified`` reads them."""
+    close = CLOSE * least * BANDS * ROWS
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    rows = cut(rows.join(nodes.select("node", "sig"), "node").withColumn("group", F.col("node")))
+    own = shingle_sets(rows.select("node").distinct())
+    tested = alike = None
+
+    def test(edges: DataFrame) -> DataFrame:
+        nonlocal tested, alike, rows
+        edges = edges.distinct()
+        edges = cut(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
+        tested = edges if tested is None else tested.unionByName(edges)
+        new = cut(verified(edges, own, least))
+        alike = new if alike is None else alike.unionByName(new)
+        return components(alike)
+
+    def still_apart(roots: DataFrame, settled: int) -> DataFrame:
+        """The rows of buckets of more than ``settled`` texts that are not of one group yet."""
+        named = rows.drop("group").join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        apart = named.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
+        return cut(named.where(F.col("n") > settled).join(apart, "bucket"))
+
+    crowded = rows.where(F.col("n") > crowd)
+    if not crowded.isEmpty():
+        rows = still_apart(test(_stars(crowded, close)), 1)
+    for most in PIVOTS:
+        roots = test(_cells(rows, most, close, crowd))
+        if most is None:
+            break
+        # buckets of most + 1 texts or fewer have met in all pairs
+        rows = still_apart(roots, min(most + 1, crowd))
+        if rows.isEmpty():
+            break
+    return roots
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
     """The documents with one of each near-duplicate group: that of the smallest id (null last), and of wholly equal rows one."""
     cols, marks = docs.columns, ("__mark_a", "__mark_b")
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
     marked = docs.withColumns({marks[0]: F.xxhash64(*parts), marks[1]: F.xxhash64(F.lit(1), *parts)})
     text = F.col(text_col).cast("string").alias("text")
-    rows = cut(map_text(marked.select(text, F.col(id_col).cast("long").alias("id"), *marks), _signatures, f"node long, {', '.join(f'{f} long' for f in FPS)}, id long, {', '.join(f'{m} long' for m in marks)}"))
-    nodes = cut(rows.groupBy("node").agg(*[F.min(f).alias(f) for f in FPS], F.min(F.struct(*marks)).alias("mark")))
-    edges = cut(candidates(nodes.drop("mark"), crowd=crowd))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", *[F.col(f"mark.{m}").alias(m) for m in marks])
-    alike = verified(edges, marked.select(text, *marks).join(small_side(ends), list(marks)), words_in_shingle, least)
-    roots = components(alike)
+    rows = cut(map_text(marked.select(text, F.col(id_col).cast("long").alias("id"), *marks), _signatures(words_in_shingle), f"node long, bands array<long>, sig binary, id long, {', '.join(f'{m} long' for m in marks)}"))
+    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", "sig")], F.min(F.struct(*marks)).alias("mark")))
+
+    def shingle_sets(wanted: DataFrame) -> DataFrame:
+        ends = wanted.join(nodes, "node").select("node", *[F.col(f"mark.{m}").alias(m) for m in marks])
+        texts = marked.select(text, *marks).join(small_side(ends), list(marks)).select("text", "node")
+        return cut(map_text(texts, _shingle_sets(words_in_shingle), "node long, own binary").groupBy("node").agg(F.first("own").alias("own")))
+
+    roots = groups(nodes.drop("mark"), shingle_sets, least, crowd)
     order = F.struct(F.col("id").isNull().alias("z"), "id", *marks)
     per_node = rows.groupBy("node").agg(F.min(order).alias("f"))
     first = per_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("f").alias("f")).select(*[F.col(f"f.{m}").alias(m) for m in marks]).distinct()
