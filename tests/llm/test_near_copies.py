@@ -52,3 +52,20 @@ def kept(spark, texts, **how):
 def test_crowded_bucket_of_edited_copies(spark):
     texts = edited(1300, 5, True, 1) + edited(3, 5, True, 2)
     assert kept(spark, texts) == brute_kept(texts)
+
+
+def test_many_candidates_that_fail(spark):
+    for from_text in (True, False):
+        texts = edited(300, 5, from_text, 3)
+        assert kept(spark, texts) == brute_kept(texts) == {0}
+
+
+def test_parts_of_crowds_without_a_middle(spark):
+    g = random.Random(4)
+    chain = [[f"c{g.randrange(9999)}" for _ in range(200)]]  # each text is alike with its neighbours only
+    for _ in range(120):
+        chain.append(chain[-1][5:] + [f"c{g.randrange(9999)}" for _ in range(5)])
+    texts = [" ".join(x) for x in chain]
+    g.shuffle(texts)
+    for crowd in (1024, 8):
+        assert kept(spark, texts, crowd=crowd) == brute_kept(texts) == {0}
