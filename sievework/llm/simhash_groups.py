@@ -2,7 +2,7 @@
 
 A text's signature is the minima of its shingles' hashes under ``BANDS`` * ``ROWS`` permutations. Two texts are
 candidates if all minima of a band are equal and at least ``CLOSE`` * ``least`` of the signature's bytes; of pairs at a
-Jaccard similarity of exactly 0.8 about 3 in 100,000 are not, of nearer pairs fewer, whatever was added, cut off or
+Jaccard similarity of exactly 0.8 about 4 in 100,000 are not, of nearer pairs fewer, whatever was added, cut off or
 edited. Two texts are one group if their sets of shingles have a Jaccard similarity of at least ``least``, which is
 verified exactly.
 

@@ -69,3 +69,26 @@ def test_parts_of_crowds_without_a_middle(spark):
     g.shuffle(texts)
     for crowd in (1024, 8):
         assert kept(spark, texts, crowd=crowd) == brute_kept(texts) == {0}
+
+
+def by_kind(seed, pairs=150):
+    """kind: pairs of texts alike at 0.8 to 0.85, the second being the first with words added, cut off or replaced."""
+    g = random.Random(seed)
+    out = {"appended": [], "cut off": [], "replaced": []}
+    while min(map(len, out.values())) < pairs:
+        for kind, found in out.items():
+            a = [f"k{g.randrange(9**9)}" for _ in range(g.randrange(100, 400))]
+            n = len(a)
+            b = a + [f"k{g.randrange(9**9)}" for _ in range(g.randrange(n // 4))] if kind == "appended" else a[: n - g.randrange(n // 4)]
+            if kind == "replaced":
+                b = list(a)
+                for _ in range(g.randrange(1, 2 + n // 30)):
+                    b[g.randrange(n)] = f"k{g.randrange(9**9)}"
+            if 0.8 <= alike(shingles(" ".join(a)), shingles(" ".join(b))) < 0.85:
+                found.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_copies_of_every_kind(spark):
+    for kind, found in by_kind(5).items():
+        assert len(kept(spark, [t for pair in found for t in pair])) == len(found), kind
