@@ -9,6 +9,8 @@ integer product. Queries go out in blocks of a fixed number; each block meets al
 Components become floor(scale * x) as integers. Vectors that are null, or hold a null, NaN or infinite
 component, take no part; nor do those of another length than the block's. A query never meets its own row
 (equal id). Ties go to the smaller id; repeated rows count each. Empty tables give an empty result.
+Large components count like any other: products that could pass 2^62 are summed as wide integers. A scaled
+component or a score met on the way to the best that is no 64-bit integer is an error, never left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import cut
 
 SCALE, TOP = 1024, 10
 #: Below every score.
-EMPTY = -(1 << 62)
+EMPTY = -(1 << 63)
 #: Segments at each resolution; queries in one block; rows met at once.
 RESOLUTIONS, QUERY_BLOCK, ROWS = (4, 16), 8192, 2048
 
@@ -38,6 +40,17 @@ def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return mean * np.sqrt([len(c) for c in cuts]), dev
 
 
+def _products(q: np.ndarray, x: np.ndarray, q_norm: np.ndarray, x_norm: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows; norms are the squared ones, whose product bounds all partial sums."""
+    s = np.einsum("ij,ij->i", q, x)
+    for i in np.flatnonzero(np.sqrt(q_norm) * np.sqrt(x_norm) >= 2.0**62).tolist():
+        wide = sum(a * b for a, b in zip(q[i].tolist(), x[i].tolist()))
+        if not EMPTY < wide < 1 << 63:
+            raise OverflowError(f"an inner product of {wide} is outside the range of scores")
+        s[i] = wide
+    return s
+
+
 class Block:
     """A block of queries and each one's best k so far."""
 
@@ -64,25 +77,25 @@ class Block:
                 n = min(2 * self.k, len(x))
                 top = np.argpartition(-bound, n - 1, axis=1)[:, :n]
                 i = np.repeat(np.arange(hi - lo), n)
-                self._exact(lo, i, top.ravel(), vec, x, bound)
+                self._exact(lo, i, top.ravel(), vec, x, norm, bound)
                 bound[i, top.ravel()] = -np.inf
             i, j = np.nonzero(bound >= self.score[part, -1][:, None])
             for stat_q, stat_x in zip(self.stats[1:], own[1:]):
                 fine = np.einsum("ij,ij->i", stat_q[lo + i], stat_x[j]) + slack[i, j]
                 alive = fine >= self.score[lo + i, -1]
                 i, j = i[alive], j[alive]
-            self._exact(lo, i, j, vec, x, bound)
+            self._exact(lo, i, j, vec, x, norm, bound)
 
-    def _exact(self, lo: int, i: np.ndarray, j: np.ndarray, vec: np.ndarray, x: np.ndarray, bound: np.ndarray) -> None:
+    def _exact(self, lo: int, i: np.ndarray, j: np.ndarray, vec: np.ndarray, x: np.ndarray, norm: np.ndarray, bound: np.ndarray) -> None:
         alive = np.isfinite(bound[i, j])
         i, j = i[alive], j[alive]
         if not len(i):
             return
-        s = np.einsum("ij,ij->i", self.q[lo + i], x[j])
+        s = _products(self.q[lo + i], x[j], self.norm[lo + i], norm[j])
         low, last = self.score[lo + i, -1], self.vec[lo + i, -1]
         alive = (s > low) | (s == low) & (vec[j] < last)
         i, j, s = i[alive], j[alive], s[alive]
-        order = np.lexsort((vec[j], -s, i))
+        order = np.lexsort((vec[j], ~s, i))
         i, j, s = i[order], j[order], s[order]
         edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
         rank = np.arange(len(i)) - np.repeat(edge, np.diff(np.r_[edge, len(i)]))
@@ -91,7 +104,7 @@ class Block:
         for a, b in zip(edge[:-1], edge[1:]):
             q = lo + i[a]
             score, ids = np.r_[self.score[q], s[a:b]], np.r_[self.vec[q], vec[j[a:b]]]
-            keep = np.lexsort((ids, -score))[: self.k]
+            keep = np.lexsort((ids, ~score))[: self.k]
             self.score[q], self.vec[q] = score[keep], ids[keep]
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +115,8 @@ class Block:
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """vec_id and v, an array of long, of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
-    fine = F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(2**40))))
-    return vectors.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
+    fine = F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.when(F.abs(x * scale) < F.lit(2.0**63), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a scaled component is no 64-bit integer")).cast("long"))).alias("v"))
 
 
 def _matrix(b: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
