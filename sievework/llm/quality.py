@@ -2,13 +2,15 @@
 
 Rules reject a document whose feature exceeds a cutoff. On the labelled holdout's good documents (quality 1)
 of a stratum, rejecting at a cutoff is tested by an exact binomial (Clopper-Pearson) bound: the chance of
-seeing as few false rejections as were seen, were the true rate ``risk``, must be at most
-``error / number of tests`` (Bonferroni over strata, rules and the whole grid of cutoffs). Of the passing
+seeing as few false rejections as were seen, were the true rate the rule's share of ``risk``, must be at most
+``error / number of tests`` (Bonferroni over strata, rules and the whole grid of cutoffs). All rules have equal
+shares, so the joint rejection by all of a stratum's rules keeps within ``risk``. Of the passing
 cutoffs the most useful is taken; a rule without one is off in that stratum. Strata are bands of document length,
 so their number is fixed.
 
 A null text has no words and fails the base rules, as does an empty one. Labels that are null or missing
-take no part; of several labels for one doc_id the lowest counts. Without labels only the base rules
+take no part; of several labels for one doc_id or one text (by a 64-bit hash) the lowest counts, so copies of
+a text are one trial; near copies are several. Without labels only the base rules
 reject. Repeated rows keep one row each. Columns other than those named are not read.
 """
 
@@ -26,7 +28,7 @@ from .common import cut, small_side
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Upper ends of the length bands (words) that are the strata; a last band is open.
 BANDS = (200, 1000)
-#: Most false rejections among good documents, and the chance of error over all tests together.
+#: Most false rejections among a stratum's good documents by all rules together, and the chance of error over all tests together.
 RISK, ERROR = 0.02, 0.05
 #: What a false rejection weighs against a rejection of a bad document, both as shares of theirs.
 PRICE = 5.0
@@ -79,7 +81,7 @@ def _repeat_words(w: Column, h: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word), n_capitals (A to Z) of each document.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word), n_capitals (A to Z), text_hash of each document.
 
     Windows of three words are compared by a 64-bit hash first; only texts with equal hashes compare the words.
     """
@@ -87,13 +89,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     count = lambda chars: F.regexp_count("t", F.lit(chars)).cast("long")
     lines = F.when(F.col("t").contains("\n"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.when(F.col("t").rlike(r"[^\x20\x09-\x0D]"), F.array("t")).otherwise(F.array().cast("array<string>")))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
-    base = base.select("doc_id", _words(F.col("t")).alias("w"), count("[#*$%&|<>]").alias("n_symbols"), count("[A-Z]").alias("n_capitals"), lines.alias("lines"))
+    base = base.select("doc_id", F.xxhash64("t").alias("text_hash"), _words(F.col("t")).alias("w"), count("[#*$%&|<>]").alias("n_symbols"), count("[A-Z]").alias("n_capitals"), lines.alias("lines"))
     n = F.size("w")
     hashes = F.zip_with(F.zip_with("w", F.slice("w", 2, n), lambda a, b: F.xxhash64(a, b)), F.slice("w", 3, n), lambda h, c: F.xxhash64(h, c))
     h = F.when(n >= 3, F.slice(hashes, F.lit(1), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
-    base = base.select("doc_id", "w", "n_symbols", "n_capitals", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), h.alias("h"))
+    base = base.select("doc_id", "text_hash", "w", "n_symbols", "n_capitals", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), h.alias("h"))
     repeat = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(_repeat_words(F.col("w"), F.col("h")))
-    return base.select("doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"), "n_lines", "n_capitals")
+    return base.select("doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.cast("long").alias("n_repeat_words"), "n_lines", "n_capitals", "text_hash")
 
 
 def base_failed() -> Column:
@@ -126,11 +128,17 @@ def passes(rejected: int, good: int, risk: float, level: float) -> bool:
 def cutoffs(feats: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR) -> dict[tuple[int, str], float]:
     """The chosen cutoff of each stratum and rule; one row of counts for each stratum comes to the driver.
 
+    With a column text_hash in ``feats`` each text counts once.
+
     All tests are corrected for together, so any passing cutoff may be chosen: it is the one with the greatest
     share of bad documents rejected less ``PRICE`` times the share of good ones, the highest of equal ones.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = feats.where(~base_failed()).join(small_side(marks), "doc_id").withColumn("s", stratum())
+    known = feats.where(~base_failed()).join(small_side(marks), "doc_id")
+    if "text_hash" in known.columns:
+        rest = [c for c in known.columns if c not in ("text_hash", "quality")]
+        known = known.groupBy("text_hash").agg(F.min("quality").alias("quality"), *[F.min(c).alias(c) for c in rest])
+    known = known.withColumn("s", stratum())
     over = [F.count_if((F.col("quality") == y) & (F.expr(r.value) > F.lit(c))).alias(f"{r.name}_{k}_{y}") for r in rules for k, c in enumerate(r.grid) for y in (0, 1)]
     level = error / ((len(BANDS) + 1) * sum(len(r.grid) for r in rules))
     out = {}
@@ -140,7 +148,7 @@ def cutoffs(feats: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES
             for k, c in reversed(list(enumerate(r.grid))):
                 bad, good = row[f"{r.name}_{k}_0"], row[f"{r.name}_{k}_1"]
                 gain = bad / max(row["bad"], 1) - PRICE * good / max(row["good"], 1)
-                if gain > best and passes(good, row["good"], risk, level):
+                if gain > best and passes(good, row["good"], risk / len(rules), level):
                     best, out[row["s"], r.name] = gain, c
     return out
 
@@ -161,4 +169,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The features with base_failed and kept, one row for each document."""
     feats = cut(features(docs, id_col, text_col))
     chosen = cutoffs(feats, labels, rules, risk, error)
-    return feats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(chosen, rules))
+    return feats.drop("text_hash").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(chosen, rules))
