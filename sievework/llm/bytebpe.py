@@ -13,9 +13,9 @@ from array import array
 
 import numpy as np
 
-from .common import Memo, plain_spacing
+from .common import Memo, kept_here, plain_spacing
 
-_OPEN: dict[str, "WordIds"] = {}
+_OPEN: dict[str, "WordIds"] = kept_here(__name__)
 #: Fixed value: the pre-token pattern of byte-level BPE without a prefix space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

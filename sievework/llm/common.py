@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -9,21 +10,34 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of texts; batches of long texts stay within a worker's memory.
-TEXT_ROWS = 512
+#: Texts that a step handles at once, and about how many bytes of them.
+TEXT_ROWS, TEXT_BYTES = 512, 8 << 20
+#: What this worker keeps between tasks, by the module that keeps it; and the module that ran last.
+_KEPT: dict[str, dict] = {}
+_LAST: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """The folder named in spark.checkpoint.dir, which all executors see; a temporary one only in local mode with none set."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        known = known or tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(known)
     return known
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever Spark keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it from there from now on, so that a lost executor costs no recomputation."""
     ship(df.sparkSession)
@@ -45,11 +59,39 @@ def ship(spark: SparkSession) -> None:
     sc._sievework_shipped = True
 
 
+def kept_here(module: str) -> dict:
+    """A dict that a worker keeps between tasks; it is emptied once the worker runs another module's step."""
+    return _KEPT.setdefault(module, {})
+
+
+def _begin(module: str) -> None:
+    """A worker holds the vocabularies and memos of one operator at a time."""
+    if _LAST != [module]:
+        for kept in _KEPT.values():
+            kept.clear()
+        _LAST[:] = [module]
+        gc.collect()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most TEXT_ROWS rows and, but for one long row, about TEXT_BYTES."""
+    for b in batches:
+        rows = max(1, min(TEXT_ROWS, TEXT_BYTES * max(b.num_rows, 1) // max(b.nbytes, 1)))
+        if b.num_rows <= rows:
+            yield b
+        for lo in range(0, b.num_rows if b.num_rows > rows else 0, rows):
+            yield b.slice(lo, rows)
+
+
 def map_text(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow with batches of at most TEXT_ROWS rows."""
+    """df.mapInArrow in slices; Spark bounds its batches by rows and bytes, and the caller's settings stay as they are."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    return df.mapInArrow(step, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(step.__module__)
+        yield from step(slices(batches))
+
+    return df.mapInArrow(run, schema)
 
 
 class Memo(dict):
@@ -68,12 +110,14 @@ class Memo(dict):
 
 def plain_spacing(text: str) -> bool:
     """True if every white-space character is one blank or one line feed between two words."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
-
+    words = text.split()
+    gaps = len(words) - 1
+    return text.count(" ") + text.count("\n") == gaps and sum(map(len, words)) + gaps == len(text)
 
-def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
-    """A side of a join, stored: to be broadcast if it is counted to have at most ``most_rows`` rows, else joined by a shuffle."""
-    from pyspark.sql import functions as F
 
+def small_side(df: DataFrame, most_rows: int = 2_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """A side of a join, stored: to be broadcast if its counted rows and bytes are within both bounds, else joined by a shuffle."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= most_rows else df
+    wide = [F.octet_length(F.col(f"`{f.name}`").cast("binary")) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    rows, more = df.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0))) if wide else F.lit(0), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most_rows and 16 * len(df.columns) * rows + more <= most_bytes else df

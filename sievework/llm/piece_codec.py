@@ -7,7 +7,8 @@ back. Where every two adjacent tokens are compatible, the tokens are those that
 
 A text is cut only where no piece of the vocabulary spans the cut, so its parts encode apart; parts are kept
 in a bounded memo. Null and empty texts have no ids and decode to the empty text. Characters outside the
-vocabulary become byte pieces. Repeated rows keep one row each; other columns are not read.
+vocabulary become byte pieces. Very long texts are encoded whole, in time that grows with their length. Repeated
+rows keep one row each, an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_text, plain_spacing
+from .common import Memo, kept_here, map_text, plain_spacing
 
 SPACE = "▁"
-_OPEN: dict[str, "PieceCodec"] = {}
+_OPEN: dict[str, "PieceCodec"] = kept_here(__name__)
 
 
 def default_path() -> str:
@@ -82,14 +83,15 @@ class PieceCodec:
         at: list[list[str]] = [[] for _ in range(n + 1)]
         for end, p in self.automaton.iter(part):
             at[end - len(p) + 1].append(p)  # by rising length
-        failed, pos, stack, ok = 0, 0, [], self.pair_ok
+        failed, pos, stack, ok = bytearray((n >> 3) + 1), 0, [], self.pair_ok
         while pos < n:
             left = at[pos]
             while left:
                 token = left.pop()
-                if not failed >> (pos + len(token)) & 1 and (not stack or ok[stack[-1], token]):
+                end = pos + len(token)
+                if not failed[end >> 3] >> (end & 7) & 1 and (not stack or ok[stack[-1], token]):
                     stack.append(token)
-                    pos += len(token)
+                    pos = end
                     break
             else:
                 c = part[pos]
@@ -97,7 +99,7 @@ class PieceCodec:
                     stack.append(c)
                     pos += 1
                 else:
-                    failed |= 1 << pos
+                    failed[pos >> 3] |= 1 << (pos & 7)
                     pos -= len(stack.pop())
         return stack
 

@@ -5,7 +5,7 @@ score wins, the smaller shard on a tie. Only key, shard and weight decide, so on
 into itself and moves no others, and a changed weight moves rows to or from that shard alone.
 
 A null key is replaced by a hash of the text. Null texts have no bytes and the check sum of an empty text.
-Repeated rows and equal keys share a shard and get slots of their own. An empty table gives an empty result.
+Repeated rows and equal keys share a shard and get slots of their own. Very long texts count whole. An empty table gives an empty result.
 Other columns than the two named are not read.
 """
 

@@ -7,7 +7,9 @@ old one behind the edit, since the pattern looks at nothing before its start. On
 again; the sums on the paths above it are updated.
 
 Null and empty texts have no tokens; edits on them are insertions. Edits beyond the end are clipped to it.
-Repeated rows keep one row each. Null edits are none. Columns other than those named are not read.
+Repeated rows keep one row each. Null edits are none. Very long texts are counted whole. An empty table gives an
+empty result. Columns other than those named are not read. The text of a special token (such as that of the end id)
+counts as plain text here, while packing takes it as the token.
 """
 
 from __future__ import annotations

@@ -8,9 +8,13 @@ weight. A match must start a word (a whole-word term must also end it) and lie o
 phrase. The score is x / (x + t) of x, the summed weights over a slowly rising function of length; t is
 the fitted cutoff, so 0.5 means label 1.
 
-Null and empty texts score 0. Labels null or missing teach nothing; of several labels for one doc_id the
-highest counts. With nothing to learn from, every score is 0. Repeated rows keep one row each. Other
-columns are passed through (``mark``) or not read (``score``).
+Terms are counted once for each family and label, over the family's text of the smallest doc_id; the cutoff is
+fitted over every labelled training text. Words of under 3 or over 40 letters never become terms.
+
+Null and empty texts score 0; very long texts are read whole. Labels null or missing teach nothing; of several
+labels for one doc_id the highest counts. With nothing to learn from, every score is 0. Repeated rows keep one row
+each, and texts alike in their folded words score alike. An empty table gives an empty result. Other columns are
+passed through (``mark``) or not read (``score``).
 """
 
 from __future__ import annotations
@@ -202,7 +206,8 @@ def _fit_cutoff(known: DataFrame, lexicon: Lexicon) -> float:
 
 
 def mark(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep_below: float | None = None) -> DataFrame:
-    """docs with a column toxicity; with ``keep_below``, docs of a lower score only, and their own columns alone."""
+    """docs with a column toxicity, in place of one of that name; with ``keep_below``, docs of a lower score only, and their own columns alone."""
+    docs = docs if keep_below is not None else docs.drop("toxicity")
     at, schema = docs.columns.index(text_col), docs.schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
