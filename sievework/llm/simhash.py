@@ -35,26 +35,36 @@ BUCKET = 2048
 PROBE_COST = 20.0
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE, seed: int = 42) -> int:
-    """The 64-bit SimHash of one text, as an unsigned number."""
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], k: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included; fewer words than k are one shingle, none none."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    k, digest = words_in_shingle, xxhash.xxh64_intdigest
-    if len(words) < k:
-        return digest(b" ".join(words), seed)
-    ones, n = np.zeros(BITS, np.int64), len(words) - k + 1
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= k:
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
+    return np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(k))))), np.uint64, len(words) - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as an unsigned number."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
-        part = words[at : at + (1 << 16) + k - 1]
-        h = np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(k))))), "<u8", min(n - at, 1 << 16))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for lo in range(0, len(bits), 255):
             ones += bits[lo : lo + 255].sum(0, dtype=np.uint8)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE, seed: int = 42) -> int:
+    """The 64-bit SimHash of one text, as an unsigned number; zero without words."""
+    return majority(shingle_hashes(split_words(text), words_in_shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and the columns in ``also``, one row for each document."""
     schema = f"doc_id long, fp long{''.join(f', {c} {docs.schema[c].dataType.simpleString()}' for c in also)}"

@@ -1,21 +1,26 @@
-"""Groups of near-duplicate texts by resemblance: minima of shingle hashes find the candidates, five-word shingles decide.
+"""Groups of near-duplicate texts: SimHash links and minima of shingle hashes find the candidates, five-word shingles decide.
 
-A text's signature is the minima of its shingles' hashes under ``BANDS`` * ``ROWS`` permutations. Two texts are
-candidates if all minima of a band are equal and at least ``CLOSE`` * ``least`` of the signature's bytes; of pairs at a
-Jaccard similarity of exactly 0.8 about 4 in 100,000 are not, of nearer pairs fewer, whatever was added, cut off or
-edited. Two texts are one group if their sets of shingles have a Jaccard similarity of at least ``least``, which is
-verified exactly.
+Two texts are one group if their sets of shingles have a Jaccard similarity of at least ``least``, which is verified
+exactly for every candidate. Candidates come from two searches, the second for what the first can't reach:
+
+- the operator of ``simhash.py``: fingerprints over the same shingles, linked at ``simhash.LIMIT`` bits by the
+  generalised pigeonhole search. Two texts alike at 0.8 differ in about ten of 64 bits, so this finds the nearest
+  copies only, and few partitions of bits could be equal at that distance without every text meeting every other;
+- minima: the least hash under ``BANDS`` * ``ROWS`` permutations. Two texts are candidates if all minima of a band are
+  equal and enough of ``WIDE`` bytes of minima agree. Of pairs at a similarity of exactly 0.8 about 7 in 100,000 are
+  not, of nearer pairs fewer, whatever was added, cut off or edited.
 
 Of the texts of a band's bucket only pairs in different groups are verified, and all of those are, in rounds that
-join groups before the next: first each crowded bucket's texts with the one most like the bucket's commonest minima,
-then those of all buckets with their 4 and 32 such texts, at last all pairs left. No candidate is passed over, so
-groups are those of all candidates' links; where no text of a crowd is alike, that takes all its candidate pairs.
-Crowded buckets are cut into parts and each two parts meet in a task, so no task holds a whole crowd. Texts of one
-sequence of lower-case words are one text (by a 64-bit hash).
-
-Null and empty texts are equal to each other. Texts of fewer than five words have one shingle, the whole. Repeated
-rows and equal doc_ids stay apart by the hash of all their columns; of wholly equal rows one is kept. An empty
-table gives an empty result. Other columns are passed through.
+join groups before the next: after the SimHash links each crowded bucket's texts with the one most like the bucket's
+commonest minima, then those of all buckets with their 4 and 32 such texts, at last all pairs left. No candidate is
+passed over, so groups are those of all candidates' links; where no text of a crowd is alike, that takes all its
+candidate pairs. Crowded buckets are cut into parts and each two parts meet in a task, so no task holds a whole crowd.
+Texts of one sequence of lower-case words are one text (by a 64-bit hash).
+
+Null and empty texts are equal to each other. Texts of fewer than five words have one shingle, the whole; very long
+texts count whole. Repeated rows and equal doc_ids stay apart by the hash of all their columns; of wholly equal rows
+one is kept (columns of maps are compared as their text). An empty table gives an empty result. Other columns are
+passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,36 +29,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, map_text, small_side
-from .simhash import components
+from .simhash import components, shingle_hashes
+from .simhash import split_words as _split
 
 #: Bands of a signature and minima in a band; a pair alike at J agrees on a band with 1 - (1 - J**ROWS)**BANDS.
 BANDS, ROWS = 20, 4
-#: Share of ``least`` in which two candidates' signatures agree.
-CLOSE = 0.75
+#: Minima of which a signature keeps one byte; candidates agree in as many as a pair alike at ``least`` but for this many deviations.
+WIDE, DEVIATIONS = 256, 4.0
 #: Words in a shingle, and the least similarity of near duplicates.
 SHINGLE, LEAST = 5, 0.8
 #: Texts in one bucket beyond which it is cut into parts; texts of each bucket that meet the others, round by round.
 CROWD, PIVOTS = 1024, (4, 32, None)
 #: Links of one text that are verified in one task, and a crowded bucket's texts whose commonest minima are taken.
 LINKS, SAMPLE = 256, 256
-_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, WIDE), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles; fewer words than k are one shingle, none none."""
-    import xxhash
+    return np.unique(shingle_hashes(words, k))
 
-    if len(words) <= k:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(s) for s in map(b" ".join, zip(*(words[i:] for i in range(k))))), np.uint64))
+
+def agreeing(least: float) -> float:
+    """Of ``WIDE`` bytes, how many agree in a pair alike at ``least`` at the least."""
+    return WIDE * least - DEVIATIONS * (WIDE * least * (1 - least)) ** 0.5
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -65,9 +69,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def signature(own: np.ndarray) -> np.ndarray:
     """The least hash of a set of shingles under each permutation."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for lo in range(0, len(own), 1024):
-        low = np.minimum(low, ((own[lo : lo + 1024] ^ _MIX[0][:, None]) * _MIX[1][:, None]).min(1))
+    low = np.full(WIDE, np.iinfo(np.uint64).max)
+    for lo in range(0, len(own), 256):
+        low = np.minimum(low, ((own[lo : lo + 256] ^ _MIX[0][:, None]) * _MIX[1][:, None]).min(1))
     return low
 
 
@@ -76,20 +80,23 @@ def _signatures(k: int):
         import xxhash
 
         for b in batches:
-            nodes, bands, sigs = [], [], []
+            nodes, fps, bands, sigs = [], [], [], []
             for text in b.column(0).to_pylist():
                 words = _split(text)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                low = signature(shingles(words, k))
-                bands.append(np.array([xxhash.xxh3_64_intdigest(x.tobytes(), band) for band, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
+                hashes = shingle_hashes(words, k)
+                fps.append(simhash.majority(hashes))
+                low = signature(np.unique(hashes))
+                bands.append(np.array([xxhash.xxh3_64_intdigest(x.tobytes(), band) for band, x in enumerate(low[: BANDS * ROWS].reshape(BANDS, ROWS))], np.uint64).view(np.int64))
                 sigs.append((low >> np.uint64(20)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), *b.columns[1:]], names=["node", "bands", "sig", *b.schema.names[1:]])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([*signed, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), *b.columns[1:]], names=["node", "fp", "bands", "sig", *b.schema.names[1:]])
 
     return step
 
 
 def _bytes(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE)
 
 
 def _middle(sigs: np.ndarray) -> np.ndarray:
@@ -99,7 +106,7 @@ def _middle(sigs: np.ndarray) -> np.ndarray:
 
 def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_middle(np.frombuffer(b"".join(x), np.uint8).reshape(-1, BANDS * ROWS)).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["bucket", "other"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_middle(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WIDE)).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["bucket", "other"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +210,27 @@ def verified(edges: DataFrame, own: DataFrame, least: float = LEAST) -> DataFram
     return map_text(both.select("a", "b", "x", "y"), _alike(least), "a long, b long")
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b (a < b): texts whose fingerprints the pigeonhole search links, or are equal; one text stands for a fingerprint."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    linked = simhash.links(first.select("fp"))
+    ends = linked.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    equal = nodes.select("fp", F.col("node").alias("y")).join(first.where("n > 1").select("fp", F.col("node").alias("x")), "fp").where("x <> y").select("x", "y")
+    return ends.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
-    """node, root of every node alike with another. nodes: distinct node, bands, sig; shingle_sets(nodes): their shingles, as ``verified`` reads them."""
-    close = CLOSE * least * BANDS * ROWS
+    """node, root of every node alike with another. nodes: distinct node, fp, bands, sig; shingle_sets(nodes): their shingles, as ``verified`` reads them."""
+    close = agreeing(least)
+    near = cut(_simhash_pairs(nodes))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
     rows = cut(rows.join(nodes.select("node", "sig"), "node").withColumn("group", F.col("node")))
-    own = shingle_sets(rows.select("node").distinct())
+    own = shingle_sets(rows.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     tested = alike = None
 
     def test(edges: DataFrame) -> DataFrame:
-        nonlocal tested, alike, rows
+        nonlocal tested, alike
         edges = edges.distinct()
         edges = cut(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
         tested = edges if tested is None else tested.unionByName(edges)
@@ -227,28 +244,37 @@ def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CR
         apart = named.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
         return cut(named.where(F.col("n") > settled).join(apart, "bucket"))
 
+    roots = test(near)
+    rows = still_apart(roots, 1)
     crowded = rows.where(F.col("n") > crowd)
     if not crowded.isEmpty():
-        rows = still_apart(test(_stars(crowded, close)), 1)
+        roots = test(_stars(crowded, close))
+        rows = still_apart(roots, 1)
     for most in PIVOTS:
-        roots = test(_cells(rows, most, close, crowd))
-        if most is None:
-            break
-        # buckets of most + 1 texts or fewer have met in all pairs
-        rows = still_apart(roots, min(most + 1, crowd))
         if rows.isEmpty():
             break
+        roots = test(_cells(rows, most, close, crowd))
+        if most is not None:
+            # buckets of most + 1 texts or fewer have met in all pairs
+            rows = still_apart(roots, min(most + 1, crowd))
     return roots
 
 
+def _hashable(field) -> Column:
+    """The column, or its text where a map in it can't be hashed."""
+    column = F.col(f"`{field.name}`")
+    return column.cast("string") if "map<" in field.dataType.simpleString() else column
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
     """The documents with one of each near-duplicate group: that of the smallest id (null last), and of wholly equal rows one."""
-    cols, marks = docs.columns, ("__mark_a", "__mark_b")
-    parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    cols = docs.columns
+    marks = [next(m for m in (f"__mark_{k}{'_' * n}" for n in range(len(cols) + 1)) if m not in cols) for k in "ab"]
+    parts = [x for c in docs.schema.fields for x in (_hashable(c), F.col(f"`{c.name}`").isNull())]
     marked = docs.withColumns({marks[0]: F.xxhash64(*parts), marks[1]: F.xxhash64(F.lit(1), *parts)})
     text = F.col(text_col).cast("string").alias("text")
-    rows = cut(map_text(marked.select(text, F.col(id_col).cast("long").alias("id"), *marks), _signatures(words_in_shingle), f"node long, bands array<long>, sig binary, id long, {', '.join(f'{m} long' for m in marks)}"))
-    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bands", "sig")], F.min(F.struct(*marks)).alias("mark")))
+    rows = cut(map_text(marked.select(text, F.col(id_col).cast("long").alias("id"), *marks), _signatures(words_in_shingle), f"node long, fp long, bands array<long>, sig binary, id long, {', '.join(f'{m} long' for m in marks)}"))
+    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "bands", "sig")], F.min(F.struct(*marks)).alias("mark")))
 
     def shingle_sets(wanted: DataFrame) -> DataFrame:
         ends = wanted.join(nodes, "node").select("node", *[F.col(f"mark.{m}").alias(m) for m in marks])
