@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, language, near duplicates, packing. Each stage works on all its predecessor kept.
 
 Null, empty and repeated documents pass through as each operator's docstring says: texts without a letter have
-no language and go with the second stage; of equal rows one stays in the third.
+no language and go with the second stage; of equal rows one stays in the third. Very long texts are read whole, an
+empty table gives no pieces, and columns of any other name and type pass through the first three stages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import langid, packing, simhash_groups, toxicity
-from sievework.llm.common import shared_folder
+from sievework.llm.common import discard, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles alike at 0.8 or more."""
+    """One document of each group of near duplicates by SimHash links and shingle minima, verified: five-word shingles alike at 0.8 or more."""
     return simhash_groups.keep_one(docs)
 
 
@@ -42,10 +43,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's result is written as Parquet in the shared folder and read again."""
+    """The stages over documents; each one's result is written as Parquet in the shared folder and read again, then deleted; the last one's stays for the caller."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        here = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            discard(spark, before)
+        before = here
     return docs
