@@ -12,8 +12,7 @@ exactly for every candidate. Candidates come from two searches, the second for w
 
 Of the texts of a band's bucket only pairs in different groups are verified, and all of those are, in rounds that
 join groups before the next: after the SimHash links each crowded bucket's texts with the one most like the bucket's
-commonest minima, then those of all buckets with their 4 and 32 such texts, at last all pairs left. No candidate is
-passed over, so groups are those of all candidates' links; where no text of a crowd is alike, that takes all its
+commonest minima, then those of all buckets with their 4 such texts, at last all pairs left. No candidate is passed over, so groups are those of all candidates' links; where no text of a crowd is alike, that takes all its
 candidate pairs. Crowded buckets are cut into parts and each two parts meet in a task, so no task holds a whole crowd.
 Texts of one sequence of lower-case words are one text (by a 64-bit hash).
 
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, map_text, small_side
+from .common import cut, map_text, small_side, tidy
 from .simhash import components, shingle_hashes
 from .simhash import split_words as _split
 
@@ -44,15 +43,18 @@ WIDE, DEVIATIONS = 256, 4.0
 #: Words in a shingle, and the least similarity of near duplicates.
 SHINGLE, LEAST = 5, 0.8
 #: Texts in one bucket beyond which it is cut into parts; texts of each bucket that meet the others, round by round.
-CROWD, PIVOTS = 1024, (4, 32, None)
+CROWD, PIVOTS = 1024, (4, None)
 #: Links of one text that are verified in one task, and a crowded bucket's texts whose commonest minima are taken.
 LINKS, SAMPLE = 256, 256
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, WIDE), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the shingles; fewer words than k are one shingle, none none."""
-    return np.unique(shingle_hashes(words, k))
+    """The sorted distinct hashes of the shingles, in 32 bits; fewer words than k are one shingle, none none.
+
+    Of two texts of 10,000 shingles each that share none, 0.02 are taken for shared on average.
+    """
+    return np.unique(shingle_hashes(words, k).astype(np.uint32))
 
 
 def agreeing(least: float) -> float:
@@ -156,8 +158,9 @@ def _meet(most: int | None, close: float):
     return step
 
 
-def _cells(rows: DataFrame, most: int | None, close: float, crowd: int) -> DataFrame:
+def _cells(rows: DataFrame, sigs: DataFrame, most: int | None, close: float, crowd: int) -> DataFrame:
     """a, b (a < b): candidates of the buckets in ``rows``. A crowded bucket's parts meet two by two."""
+    rows = rows.join(sigs, "node")
     parts = F.when(F.col("n") > crowd, F.ceil(2 * F.col("n") / crowd)).otherwise(1).cast("int")
     cells = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = cells.select("bucket", "node", "group", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "sig")
@@ -166,8 +169,9 @@ def _cells(rows: DataFrame, most: int | None, close: float, crowd: int) -> DataF
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(most, close), "a long, b long")
 
 
-def _stars(rows: DataFrame, close: float) -> DataFrame:
+def _stars(rows: DataFrame, sigs: DataFrame, close: float) -> DataFrame:
     """a, b (a < b): of each bucket in ``rows``, the candidates of the text most like the commonest bytes of a sample's signatures."""
+    rows = rows.join(sigs, "node")
     some = rows.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SAMPLE)) == 0)
     middles = map_text(some.groupBy("bucket").agg(F.collect_list("sig")), _middles, "bucket long, other binary")
     like = map_text(rows.join(small_side(middles), "bucket").select("bucket", "node", "sig", "other"), _agreement, "bucket long, node long, same int")
@@ -189,7 +193,7 @@ def _shingle_sets(k: int):
 def _alike(least: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [[np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3)]
+            sets = [[np.frombuffer(x, np.uint32) for x in b.column(k).to_pylist()] for k in (2, 3)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array([similarity(x, y) >= least for x, y in zip(*sets)], pa.bool_()))
 
     return step
@@ -225,7 +229,7 @@ def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CR
     near = cut(_simhash_pairs(nodes))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    rows = cut(rows.join(nodes.select("node", "sig"), "node").withColumn("group", F.col("node")))
+    rows, sigs = cut(rows.withColumn("group", F.col("node"))), nodes.select("node", "sig")
     own = shingle_sets(rows.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     tested = alike = None
 
@@ -236,6 +240,7 @@ def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CR
         tested = edges if tested is None else tested.unionByName(edges)
         new = cut(verified(edges, own, least))
         alike = new if alike is None else alike.unionByName(new)
+        tidy(nodes.sparkSession)
         return components(alike)
 
     def still_apart(roots: DataFrame, settled: int) -> DataFrame:
@@ -248,12 +253,12 @@ def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CR
     rows = still_apart(roots, 1)
     crowded = rows.where(F.col("n") > crowd)
     if not crowded.isEmpty():
-        roots = test(_stars(crowded, close))
+        roots = test(_stars(crowded, sigs, close))
         rows = still_apart(roots, 1)
     for most in PIVOTS:
         if rows.isEmpty():
             break
-        roots = test(_cells(rows, most, close, crowd))
+        roots = test(_cells(rows, sigs, most, close, crowd))
         if most is not None:
             # buckets of most + 1 texts or fewer have met in all pairs
             rows = still_apart(roots, min(most + 1, crowd))
