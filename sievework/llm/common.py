@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts that a step handles at once, and about how many bytes of them.
@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, part_rows: int = 50_000) -> tuple[DataFrame, int]:
+    """``cut`` with the number of rows, counted on the way; what is small is read in few tasks from then on."""
+    seen = Observation()
+    df = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    rows = seen.get["n"]
+    return df.coalesce(rows // part_rows + 1), rows
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more: it waits for the driver's garbage collection."""
     gc.collect()
@@ -123,7 +131,9 @@ def plain_spacing(text: str) -> bool:
 
 def small_side(df: DataFrame, most_rows: int = 2_000_000, most_bytes: int = 64 << 20) -> DataFrame:
     """A side of a join, stored: to be broadcast if its counted rows and bytes are within both bounds, else joined by a shuffle."""
-    df = cut(df)
     wide = [F.octet_length(F.col(f"`{f.name}`").cast("binary")) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
-    rows, more = df.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0))) if wide else F.lit(0), F.lit(0))).first()
-    return F.broadcast(df) if rows <= most_rows and 16 * len(df.columns) * rows + more <= most_bytes else df
+    seen = Observation()
+    columns = len(df.columns)
+    df = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(wide, F.lit(0)).cast("long")), F.lit(0)).alias("b")))
+    rows, more = seen.get["n"], seen.get["b"]
+    return F.broadcast(df.coalesce(rows // 50_000 + 1)) if rows <= most_rows and 16 * columns * rows + more <= most_bytes else df

@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import cut, map_text, stored
 
 BITS, LIMIT, SHINGLE = 64, 3, 3
 #: Fingerprints in one bucket beyond which it is split by its remaining bits.
 BUCKET = 2048
 #: Cost of writing, sorting and reading one probe, in units of one verified candidate.
 PROBE_COST = 20.0
+#: Edges that one task joins to components; more go through rounds of star contraction.
+ONE_TASK = 500_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -231,9 +233,34 @@ def links(fps: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame
     return every.select("bucket", "fp", "probe").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forest(limit), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node with an edge: alternating large-star and small-star rounds until no edge changes."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all edges in the task, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if (x := root(a)) != (y := root(b)):
+                parent[max(x, y)] = min(x, y)
+    pairs = np.array([(x, r) for x in list(parent) if (r := root(x)) != x], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["node", "root"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node, root (the least node) for every node with an edge but the roots: one task joins up to ``one_task`` edges, else star contraction does.
+
+    Alternating large-star and small-star rounds run until no edge changes.
+    """
+    edges, n = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if n <= one_task:
+        return map_text(edges.coalesce(1), _joined, "node long, root long")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

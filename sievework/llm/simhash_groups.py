@@ -10,9 +10,9 @@ exactly for every candidate. Candidates come from two searches, the second for w
   equal and enough of ``WIDE`` bytes of minima agree. Of pairs at a similarity of exactly 0.8 about 7 in 100,000 are
   not, of nearer pairs fewer, whatever was added, cut off or edited.
 
-Of the texts of a band's bucket only pairs in different groups are verified, and all of those are, in rounds that
-join groups before the next: after the SimHash links each crowded bucket's texts with the one most like the bucket's
-commonest minima, then those of all buckets with their 4 such texts, at last all pairs left. No candidate is passed over, so groups are those of all candidates' links; where no text of a crowd is alike, that takes all its
+Of the texts of a band's bucket only pairs in different groups are verified, and all of those are, in two rounds:
+the SimHash links, each crowded bucket's texts with the one most like the bucket's commonest minima, and those of
+all buckets with their 4 such texts; then, these groups being joined, all pairs left. No candidate is passed over, so groups are those of all candidates' links; where no text of a crowd is alike, that takes all its
 candidate pairs. Crowded buckets are cut into parts and each two parts meet in a task, so no task holds a whole crowd.
 Texts of one sequence of lower-case words are one text (by a 64-bit hash).
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, map_text, small_side, tidy
+from .common import cut, map_text, small_side, stored, tidy
 from .simhash import components, shingle_hashes
 from .simhash import split_words as _split
 
@@ -42,8 +42,8 @@ BANDS, ROWS = 20, 4
 WIDE, DEVIATIONS = 256, 4.0
 #: Words in a shingle, and the least similarity of near duplicates.
 SHINGLE, LEAST = 5, 0.8
-#: Texts in one bucket beyond which it is cut into parts; texts of each bucket that meet the others, round by round.
-CROWD, PIVOTS = 1024, (4, None)
+#: Texts in one bucket beyond which it is cut into parts; texts of each bucket that meet the others in the first round.
+CROWD, PIVOTS = 1024, 4
 #: Links of one text that are verified in one task, and a crowded bucket's texts whose commonest minima are taken.
 LINKS, SAMPLE = 256, 256
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, WIDE), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -225,44 +225,30 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
     """node, root of every node alike with another. nodes: distinct node, fp, bands, sig; shingle_sets(nodes): their shingles, as ``verified`` reads them."""
-    close = agreeing(least)
-    near = cut(_simhash_pairs(nodes))
+    spark, close = nodes.sparkSession, agreeing(least)
+    near, _ = stored(_simhash_pairs(nodes))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-    rows, sigs = cut(rows.withColumn("group", F.col("node"))), nodes.select("node", "sig")
+    rows, _ = stored(rows.withColumn("group", F.col("node")))
+    sigs = nodes.select("node", "sig")
     own = shingle_sets(rows.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
-    tested = alike = None
-
-    def test(edges: DataFrame) -> DataFrame:
-        nonlocal tested, alike
-        edges = edges.distinct()
-        edges = cut(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
-        tested = edges if tested is None else tested.unionByName(edges)
-        new = cut(verified(edges, own, least))
-        alike = new if alike is None else alike.unionByName(new)
-        tidy(nodes.sparkSession)
-        return components(alike)
-
-    def still_apart(roots: DataFrame, settled: int) -> DataFrame:
-        """The rows of buckets of more than ``settled`` texts that are not of one group yet."""
-        named = rows.drop("group").join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-        apart = named.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
-        return cut(named.where(F.col("n") > settled).join(apart, "bucket"))
-
-    roots = test(near)
-    rows = still_apart(roots, 1)
-    crowded = rows.where(F.col("n") > crowd)
+    first, crowded = near.unionByName(_cells(rows, sigs, PIVOTS, close, crowd)), rows.where(F.col("n") > crowd)
     if not crowded.isEmpty():
-        roots = test(_stars(crowded, sigs, close))
-        rows = still_apart(roots, 1)
-    for most in PIVOTS:
-        if rows.isEmpty():
-            break
-        roots = test(_cells(rows, sigs, most, close, crowd))
-        if most is not None:
-            # buckets of most + 1 texts or fewer have met in all pairs
-            rows = still_apart(roots, min(most + 1, crowd))
-    return roots
+        first = first.unionByName(_stars(crowded, sigs, close))
+    tested, _ = stored(first.distinct())
+    alike, _ = stored(verified(tested, own, least))
+    roots, _ = stored(components(alike))
+    tidy(spark)
+    named = rows.drop("group").join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    apart = named.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
+    # buckets of PIVOTS + 1 texts or fewer have met in all pairs
+    rows, left = stored(named.where(F.col("n") > min(PIVOTS + 1, crowd)).join(apart, "bucket"))
+    if not left:
+        return roots
+    edges, _ = stored(_cells(rows, sigs, None, close, crowd).distinct().join(tested, ["a", "b"], "left_anti"))
+    more, found = stored(verified(edges, own, least))
+    tidy(spark)
+    return components(alike.unionByName(more)) if found else roots
 
 
 def _hashable(field) -> Column:
