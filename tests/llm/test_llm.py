@@ -154,8 +154,19 @@ def test_simhash_groups(spark, none):
         kept = simhash_groups.keep_one(docs, crowd=crowd)
         got = {r.doc_id for r in kept.collect()}
         assert kept.columns == docs.columns
-        assert want <= got and len(got - want) <= 0.1 * (len(rows) - len(want))
+        assert got == want
     assert simhash_groups.keep_one(none).count() == 0
+    odd_columns = docs.limit(3).selectExpr("doc_id", "text", "map('a', doc_id) as m", "1 as __mark_a", "2 as __mark_b", "3 as __copies", "4 as bands")
+    kept = simhash_groups.keep_one(odd_columns)
+    assert kept.columns == odd_columns.columns and {(r.m["a"], r["__mark_a"], r["__mark_b"]) for r in kept.collect()} == {(i, 1, 2) for i in range(3)}
+
+
+def test_star_contraction(spark):
+    g = random.Random(2)
+    edges = [(g.randrange(400), g.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 560)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    one, rounds = ({r.node: r.root for r in simhash.components(frame, n).collect() if r.node != r.root} for n in (1000, 0))
+    assert one == rounds and one[560] == 500
 
 
 def test_packing(spark, odd, none, docs):
@@ -233,6 +244,7 @@ def test_toxicity(spark, odd, none, docs):
     assert toxicity.learn(none, labels).weights == {} and toxicity.learn(docs, labels.where("false")).weights == {}
     own = toxicity.Matcher(toxicity.Lexicon({toxicity.fold("clown") + " ": 2.0}, 1.0))
     assert own.weight("a clown fish")[0] == 0 and own.weight("a CL0WN, a clown")[0] == 4.0 and own.weight("clownish")[0] == 0
+    assert toxicity.mark(odd.withColumn("toxicity", F.lit("clash")), lex).columns.count("toxicity") == 1
     kept = toxicity.mark(odd, lex, keep_below=0.5)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
