@@ -36,7 +36,7 @@ def gate(source: Column, policy: SourcePolicy = SourcePolicy()) -> Column:
     path, query = F.regexp_extract(s, URL, 3), F.regexp_extract(s, URL, 4)
     bare = F.concat(F.regexp_replace(path, ";[^/]*$", ""), F.when(query == "?", "").otherwise(query))
     ends = "(" + "|".join(x.replace(".", r"\.") for x in policy.suffixes) + ")$"
-    artifact = F.lower(path).rlike(ends)
+    artifact = F.lower(path).rlike(ends) if policy.suffixes else F.lit(False)
     for p in policy.prefixes:
         artifact = artifact | F.lower(path).startswith(p)
     url = scheme.isin("http", "https", "ftp") & (host != "")

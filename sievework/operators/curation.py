@@ -24,7 +24,9 @@ SUPPORTS = {
     "claim": ("unknown", "abstract", "discussion", "conclusion"), "method": ("unknown", "abstract", "methods"), "result": ("unknown", "abstract", "results", "discussion", "conclusion"),
     "dataset_population": ("unknown", "abstract", "methods", "results"), "limitation": ("unknown", "abstract", "discussion", "conclusion", "limitations"),
 }
+#: Fixed values.
 INLINE = r"Abstract|Background|Objective|Methods?|Results?|Conclusion|Limitations?|Dataset|Population"
+#: Fixed values.
 LEADING = ("results and discussion", "materials and methods", "result and discussion", "introduction", "methodology", "conclusions", "limitations", "background", "objectives", "discussion", "conclusion", "limitation", "population", "objective", "abstract", "findings", "methods", "results", "dataset", "method", "result")
 #: Patterns of the evidence types, tried in this order.
 TYPES = {
@@ -34,8 +36,7 @@ TYPES = {
     "dataset_population": r"\bdatasets?\b|\bcohort\b|\bpopulation\b|\bpatients?\b|\bparticipants?\b|\bclinical isolates?\b|\bisolates?\b|\bsamples?\b|\bspecimens?\b|\bn\s*=\s*\d+",
     "claim": r"\bwe (?:show|demonstrate|present|propose|develop|developed|report)\b|\bthis study (?:shows|demonstrates|presents|reports)\b|\bour findings\b|\bobjective\b",
 }
-#: More front matter, and signs of stitched columns (whatever the case, and as written).
-MORE_FRONT_MATTER = (r"\boriginal research\s+published\s*:", r"\bdetection method advantages disadvantages\b", r"\badvantages disadvantages\b")
+#: Signs of stitched columns (whatever the case, and as written).
 STITCHED = (
     r"\btable\s+\d+\s*\|", r"\bfigure\s+\d+\s*\|", r"\bfrontiers in\b.*\bwww\.", r"\bwww\.[^\s]+", r"\binterpretation of however\b", r"\bthus interpretation of however\b",
     r"\b(?:the|this|a|an|we|they)\s+[a-z]+\s+(?:both|however|the|they|when|thus)\b", r"\bthey this\b", r"\b(?:maldi|tof)-in\b", r"\bthe sample microbial\b", r"\bavailability of many within\b", r"\bin the a number of\b",
@@ -48,8 +49,11 @@ STITCHED = (
     r"\bafter exposure of\s+[-–−]\s*lactam antibiotics to\s+[-–−]\s*lactamase producing\s+daltonics\b",
 )
 STITCHED_AS_WRITTEN = (r"\breSearch strategy\b", r"^(?:[A-Z][a-z]+ [A-Z],\s*){2,}")
+#: Fixed values.
 EMBEDDED = ("article quality assessment", "availability of data and materials", "data extraction", "limitations of this study", "microbial resistance patterns", "search strategy")
+#: Fixed values.
 STARTERS = ("Article", "Articles", "Background", "Both", "By", "Coding", "Data", "Each", "For", "If", "Information", "Initial", "Interviews", "Methods", "Microbial", "No", "Objective", "Poultry", "Results", "Secondly", "The", "This", "Thus", "Unfortunately")
+#: Fixed values.
 ANCHORS = r"\b(?:this review|this study|our findings|article retrieval and screening|structured search|inclusion/exclusion|clinical isolates|validation cohort|auroc|auc|sensitivity|specificity)\b"
 
 STRINGS = "array<string>"
@@ -217,7 +221,7 @@ def layout_flags(c: Column) -> list[tuple[str, Column]]:
 
 def quality_flags(c: Column) -> Column:
     """The flags of a sentence, each once, in order; an empty array means clean."""
-    front = "|".join((*FRONT_MATTER, *MORE_FRONT_MATTER))
+    front = "|".join(FRONT_MATTER)
     rules = [("short_fragment", (F.length(c) < 20) | (word_count(c) <= 4)), ("instruction_injection", finds(c, "|".join(INJECTION))), ("front_matter", finds(c, front)), *layout_flags(c)]
     return F.array_distinct(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in rules])))
 

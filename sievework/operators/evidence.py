@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,7 +12,10 @@ from ..functions.text import sentences
 
 #: Instruction patterns, and front-matter patterns.
 INJECTION = (r"\bignore (all )?(previous|prior|above) instructions\b", r"\bsystem prompt\b", r"\bdeveloper message\b", r"\breveal .*secret", r"\bexfiltrat", r"\bexecute (a )?(command|script)\b", r"\brun (bash|sh|python|curl|wget)\b")
-FRONT_MATTER = (r"\bdepartment of\b", r"\bfaculty of\b", r"\borcid\.org\b", r"\bcorresponding author\b", r"\bavailability of data and materials\b", r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", r"\bkeywords?\s*:", r"\bspecialty section\b", r"\bcorrespondence\b", r"\breceived\s*:|\baccepted\s*:|\bpublished\s*:")
+FRONT_MATTER = (r"\bdepartment of\b", r"\bfaculty of\b", r"\borcid\.org\b", r"\bcorresponding author\b", r"\bavailability of data and materials\b", r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", r"\bkeywords?\s*:", r"\bspecialty section\b", r"\bcorrespondence\b", r"\breceived\s*:|\baccepted\s*:|\bpublished\s*:", r"\boriginal research\s+published\s*:", r"\bdetection method advantages disadvantages\b", r"\badvantages disadvantages\b")
+#: Lower-case letters without which no injection or front-matter pattern is found.
+INJECTION_SIGNS = ("instructions", "system prompt", "developer message", "reveal ", "exfiltrat", "execute ", "run ")
+FRONT_MATTER_SIGNS = ("department of", "faculty of", "orcid.org", "corresponding author", "availability of data", "@", "keyword", "specialty section", "correspondence", "received", "accepted", "published", "advantages disadvantages")
 #: Flags that quarantine.
 QUARANTINE = ("column_stitching", "document_parse_quality", "embedded_heading", "formula_fragment", "front_matter", "hyphenation_break", "instruction_injection", "low_page_parse_confidence", "page_parse_quality", "reference_section", "sentence_fragment", "short_fragment", "symbol_loss", "table_fragment")
 
@@ -25,6 +30,17 @@ def either(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("(?i)(?:" + "|".join(patterns) + ")")
 
 
+def guarded(c: Column, signs: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
+    """``either``, tried only on texts that hold one of the signs."""
+    low = F.lower(c)
+    return F.when(reduce(lambda a, b: a | b, [low.contains(s) for s in signs]), either(c, patterns)).otherwise(False)
+
+
+def fewer_words(c: Column, n: int) -> Column:
+    """Whether a text has fewer than n words; no more than n are looked at."""
+    return ~c.rlike(rf"^\s*(?:\S+\s+){{{n - 1}}}\S")
+
+
 def words(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"\S+"), 0))
 
@@ -32,12 +48,12 @@ def words(c: Column) -> Column:
 def flags(c: Column, least_words: int = 5) -> Column:
     """The flags of a sentence, in a fixed order."""
     return F.array_compact(F.array(
-        F.when(words(c) < least_words, F.lit("short_fragment")),
-        F.when(either(c, INJECTION), F.lit("instruction_injection")),
-        F.when(either(c, FRONT_MATTER), F.lit("front_matter")),
-        F.when(F.length(F.regexp_replace(c, r"[^|]", "")) >= 2, F.lit("table_fragment")),
+        F.when(fewer_words(c, least_words), F.lit("short_fragment")),
+        F.when(guarded(c, INJECTION_SIGNS, INJECTION), F.lit("instruction_injection")),
+        F.when(guarded(c, FRONT_MATTER_SIGNS, FRONT_MATTER), F.lit("front_matter")),
+        F.when(F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit(""))) >= 2, F.lit("table_fragment")),
         F.when(c.rlike(r"^[a-z]"), F.lit("sentence_fragment")),
-        F.when(c.rlike(r"[A-Za-z]- [a-z]"), F.lit("hyphenation_break")),
+        F.when(c.contains("- ") & c.rlike(r"[A-Za-z]- [a-z]"), F.lit("hyphenation_break")),
     ))
 
 

@@ -27,7 +27,9 @@ SETS: dict[str, tuple[str, ...]] = {
     "stochastic_calculus_collision": ("education", "euler", "fractional", "generic", "lagrange", "newtonian", "non", "variations"),
     "simulation_package": ("api", "environment", "functions", "gymnasium", "optimization", "package", "policy", "python", "reinforcement", "reward", "simulation", "simulator"),
 }
+#: Fixed values.
 RESISTANCE = ("antibiotic", "antibiotics", "antimicrobial", "carbapenem", "carbapenemase", "cre", "drug", "esbl", "lactamase", "resistance", "resistant")
+#: Fixed values.
 WARDS = ("care", "clinical", "critically", "developing", "hospital", "implications", "patients", "patterns", "prevalence", "stewardship", "surveillance", "tertiary", "uropathogens")
 
 
@@ -154,6 +156,7 @@ def _default(t: Bag, n: Column, r: Column, provider: Column) -> list[Rule]:
     ]
 
 
+#: Fixed values.
 CALCULUS = frozenset(("brownian", "calculus", "differential", "equations", "girsanov", "integration", "ito", "martingale", "martingales", "semimartingale", "semimartingales", "stratonovich"))
 #: Regimes in order: the first whose test a query's token set passes is taken.
 REGIMES: list[tuple[str, Callable[[frozenset[str]], bool], Callable[..., list[Rule]]]] = [

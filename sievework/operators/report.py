@@ -29,7 +29,9 @@ INTRODUCTIONS = tuple(f"The {s} section draws on " for s in SECTIONS)
 TABLES = {"claim": "claims", "method": "methods", "result": "results", "dataset_population": "populations", "limitation": "limitations"}
 ROLES = ("claim", "method", "result", "limitation", "dataset_population", "method_detail", "formula_detail", "front_matter", "metadata_noise")
 VERBS = {"claim": "argued that", "dataset_population": "described that", "method": "described that", "result": "reported that", "limitation": "noted that"}
+#: Fixed values.
 NEGATIVE = ("no improvement", "not improve", "did not improve", "failed to improve", "decreased", "reduced", "lower", "worse")
+#: Fixed values.
 POSITIVE = ("improved", "increased", "higher", "outperformed", "achieved", "detected")
 STRINGS = "array<string>"
 

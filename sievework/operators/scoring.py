@@ -18,11 +18,6 @@ def weighted_hits(normalized: Column, terms: dict[str, int]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(contains_phrase(normalized, t), w).otherwise(0) for t, w in terms.items()], F.lit(0))
 
 
-def hit_names(normalized: Column, terms: dict[str, int], most: int = 5) -> Column:
-    found = F.array_compact(F.array(*[F.when(contains_phrase(normalized, t), F.lit(t)) for t in terms]))
-    return F.array_join(F.slice(found, 1, most), ", ")
-
-
 def relevance(normalized: Column, provider: Column, terms: dict[str, int], bonus: dict[str, int], negative: dict[str, int] | None = None, base: int = 5) -> Column:
     """base + provider bonus + hits, less up to 80 (hits + 18) for negative terms where nothing else hits; within 0 and 100."""
     hits = weighted_hits(normalized, terms)
@@ -50,11 +45,14 @@ def review_score(label: Column, score: Column, confidence: Column) -> Column:
 def diversify(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     """The k first rows by ``order``, one of each key before any second one; rank from 1.
 
-    The best of each key and the best k of all are all that can be taken, so no window spans all rows.
+    Only the best of each key and the best k of all can be taken. The first are cut to one row a key before the
+    shuffle, and a key among the best k of all has its own best there, so the rest are known without another look.
     """
     own = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    first = df.withColumn("again", F.when(own == 1, 0).otherwise(1)).orderBy("again", *order).limit(k)
-    return first.withColumn("rank", F.row_number().over(W.orderBy("again", *order))).drop("again")
+    best = df.withColumn("own", own).where("own = 1").orderBy(*order).limit(k)
+    rest = df.orderBy(*order).limit(k).withColumn("own", own).where("own > 1")
+    every = best.unionByName(rest).withColumn("again", F.when(F.col("own") == 1, 0).otherwise(1)).drop("own")
+    return every.orderBy("again", *order).limit(k).withColumn("rank", F.row_number().over(W.orderBy("again", *order))).drop("again")
 
 
 def confusion(df: DataFrame, human: str, agent: str) -> DataFrame:

@@ -291,7 +291,9 @@ def recommend_unlabeled(spark, sf):
     tok = _t(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
     weight = F.expr("CASE human WHEN 'relevant' THEN 2 WHEN 'maybe' THEN 1 ELSE -2 END * CASE label_source WHEN 'human' THEN 4 ELSE 1 END")
     lab = _labels(spark, sf).select("doc_id", weight.alias("weight"))
-    profile = tok.join(lab, "doc_id").groupBy("token").agg(F.sum("weight").alias("w"))
+    profile = tok.join(lab, "doc_id").groupBy("token").agg(F.sum("weight").alias("w")).persist()
+    # a profile of up to a million tokens goes to the texts; a larger one meets their tokens by a shuffle
+    profile = F.broadcast(profile) if profile.count() <= 1_000_000 else profile
     scores = tok.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").join(profile, "token").groupBy("doc_id").agg(F.sum(6 * F.col("w")).alias("score"))
     top = scores.orderBy(F.desc("score"), "doc_id").limit(100)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
@@ -406,9 +408,10 @@ CLAIM = "list_distinct(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9]
 
 
 @query(f"""SELECT s.doc_id, s.seq, len(list_intersect(c, b.t)) AS overlap, len(c) AS n_terms, len(list_intersect(c, b.t)) >= CASE WHEN len(c) <= 3 THEN 1 ELSE 2 END AS supported
-FROM (SELECT doc_id, seq, {CLAIM} AS c FROM {SENTS}) s JOIN (SELECT item_id, {TOK.format(c='text')} AS t FROM benchmark) b ON b.item_id = s.doc_id % 40""")
+FROM (SELECT doc_id, seq, {CLAIM} AS c FROM {SENTS}) s JOIN (SELECT item_id, {TOK.format(c='text')} AS t FROM benchmark) b ON b.item_id = s.doc_id % (SELECT count(*) FROM benchmark)""")
 def lexical_support(spark, sf):
-    claims = sentence_split(spark, sf).select("doc_id", "seq", text.tokens(F.col("sentence")).alias("c"), (F.col("doc_id") % 40).alias("item_id"))
+    n_items = max(1, _t(spark, sf, "benchmark").count())
+    claims = sentence_split(spark, sf).select("doc_id", "seq", text.tokens(F.col("sentence")).alias("c"), (F.col("doc_id") % n_items).alias("item_id"))
     j = claims.join(_t(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t")), "item_id")
     n, k = F.size("c"), F.size(F.array_intersect("c", "t"))
     return j.select("doc_id", "seq", k.cast("long").alias("overlap"), n.cast("long").alias("n_terms"), (k >= F.when(n <= 3, 1).otherwise(2)).alias("supported"))
@@ -476,4 +479,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Registers the queries of the other modules, which build on this one."""
-    from . import review  # noqa: F401
+    from . import review, stores  # noqa: F401

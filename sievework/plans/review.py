@@ -64,17 +64,18 @@ def regime_labels(spark, sf):
     return labelling.auto_label(_items(spark, sf), ASKED).groupBy("label", "confidence").agg(F.count("*").alias("n_items"))
 
 
-@query("""SELECT doc_id, label, CASE WHEN c BETWEEN 0 AND 1 THEN c END AS confidence FROM (SELECT doc_id, quality AS q, CASE WHEN quality = 1 THEN 'relevant' ELSE 'maybe' END AS label, CAST((doc_id % 15) / 10.0 AS DOUBLE) AS c FROM labels WHERE doc_id % 3 <> 0)""")
+@query("""SELECT doc_id, label, CASE WHEN c BETWEEN 0 AND 1 THEN c END AS confidence FROM (SELECT doc_id, quality AS q, CASE WHEN quality = 1 THEN 'relevant' ELSE 'maybe' END AS label, CAST((doc_id % 15) / 10.0 AS DOUBLE) AS c FROM labels)""")
 def prior_labels(spark, sf):
     c = F.format_string("previous_agent_label=%s;agent_confidence=%s", F.when(F.col("quality") == 1, "Relevant").otherwise("maybe"), (F.col("doc_id") % 15 / 10.0).cast("decimal(4,1)").cast("string"))
-    noted = _t(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 3 != 0, c).alias("signals"))
+    noted = _t(spark, sf, "labels").select("doc_id", c.alias("signals"))
     return noted.select("doc_id", labelling.prior_agent_label(F.col("signals"), F.lit(None).cast("string")).alias("p")).where("p is not null").select("doc_id", "p.*")
 
 
-@query("""SELECT doc_id, (1 - CASE WHEN n < 20 THEN 0.25 ELSE 0 END)::DOUBLE AS confidence, CASE WHEN n < 20 THEN 'short_page' ELSE '' END AS flags FROM (SELECT doc_id, len(regexp_extract_all(head, '[^ \\t\\n\\x0b\\f\\r]+')) AS n FROM (SELECT doc_id, left(text, 150) AS head FROM documents) WHERE contains(head, ' '))""")
+@query("""SELECT doc_id, round(1 - CASE WHEN n < 20 THEN 0.25 ELSE 0 END - CASE WHEN s THEN 0.45 ELSE 0 END - CASE WHEN w THEN 0.1 ELSE 0 END, 3)::DOUBLE AS confidence, array_to_string(list_filter([CASE WHEN n < 20 THEN 'short_page' END, CASE WHEN s THEN 'column_stitching' END, CASE WHEN w THEN 'wide_spacing' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\t-\\r\\x{85}\\p{Z}]+')) AS n, contains(text, 'Articles seTo') OR contains(text, 'reSearch strategy') AS s, contains(text, repeat(' ', 16)) AS w FROM documents)""")
 def page_parse(spark, sf):
-    head = _t(spark, sf, "documents").where("contains(left(text, 150), ' ')").select("doc_id", curation.parse_score(F.expr("left(text, 150)")).alias("p"))
-    return head.select("doc_id", "p.confidence", F.array_join("p.flags", ",").alias("flags"))
+    pages = _t(spark, sf, "documents").select("doc_id", curation.parse_score(F.col("text")).alias("p"))
+    return pages.select("doc_id", "p.confidence", F.array_join("p.flags", ",").alias("flags"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'unsupported_block_status' WHEN turn % 4 = 0 THEN 'no_page_anchored_evidence' WHEN turn % 3 = 0 THEN 'missing_page_citation' WHEN turn % 2 = 0 THEN 'unknown_page_citation' ELSE 'page_anchored' END AS reason, CAST(CASE WHEN turn % 5 <> 0 AND turn % 4 <> 0 AND turn % 3 <> 0 AND turn % 2 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS evidence_count FROM conversations""")

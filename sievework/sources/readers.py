@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_markup, inverted_index_text, normalize_doi, trailing_id, year
+from ..operators.candidates import atom_candidates
 
 WORKS = "struct<results:array<struct<ids:struct<doi:string,pmid:string,pmcid:string>,display_name:string,publication_year:int,primary_location:struct<landing_page_url:string,pdf_url:string,source:struct<display_name:string>>,open_access:struct<oa_status:string,oa_url:string>,abstract_inverted_index:map<string,array<int>>,concepts:array<struct<display_name:string>>>>>"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One source a line; the first column where lines are comma-separated; a header that starts with "source", comments and blank lines left out."""
-    line = F.trim(F.element_at(F.split("value", ","), 1))
-    return spark.read.text(path).select(line.alias("source")).where("source <> '' and not startswith(source, '#') and not startswith(lower(source), 'source')")
+    """Sources of manifest files, each either CSV, if a comma is among its first 4,096 characters, or a list.
+
+    CSV: the first column, rows that start with "source" left out. Lists: one a line, comments left out. Blank ones go in both.
+    """
+    files = spark.read.option("wholetext", True).text(path)
+    lines = files.select(F.left("value", F.lit(4096)).contains(",").alias("csv"), F.explode(F.split("value", r"\r\n|\r|\n")).alias("line"))
+    quoted = F.replace(F.regexp_extract("line", r'^"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
+    first = F.when(F.startswith("line", F.lit('"')), quoted).otherwise(F.substring_index("line", ",", 1))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    source = F.when(F.col("csv"), F.when(~F.lower(first).startswith("source"), bare(first))).otherwise(F.when(~bare(F.col("line")).startswith("#"), bare(F.col("line"))))
+    return lines.select(source.alias("source")).where("source <> ''")
 
 
 def works(payloads: DataFrame, col: str = "payload") -> DataFrame:
@@ -35,8 +44,8 @@ def summaries(payloads: DataFrame, col: str = "payload") -> DataFrame:
 
 
 def atom(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates of Atom feeds."""
-    return spark.read.format("xml").option("rowTag", "entry").load(path)
+    """Candidates of Atom feeds, one feed a file."""
+    return atom_candidates(spark.read.option("wholetext", True).text(path), "value")
 
 
 def pages(text: Column) -> Column:
