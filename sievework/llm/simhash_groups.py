@@ -39,7 +39,7 @@ from .simhash import split_words as _split
 #: Bands of a signature and minima in a band; a pair alike at J agrees on a band with 1 - (1 - J**ROWS)**BANDS.
 BANDS, ROWS = 20, 4
 #: Minima of which a signature keeps one byte; candidates agree in as many as a pair alike at ``least`` but for this many deviations.
-WIDE, DEVIATIONS = 256, 4.0
+WIDE, DEVIATIONS = 512, 4.0
 #: Words in a shingle, and the least similarity of near duplicates.
 SHINGLE, LEAST = 5, 0.8
 #: Texts in one bucket beyond which it is cut into parts; texts of each bucket that meet the others in the first round.
@@ -122,7 +122,7 @@ def _meet(most: int | None, close: float):
     """Of cells sorted by their key: the candidates in different groups, each cell's ``most`` middle texts with all others."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, part: np.ndarray, mixed: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(key: np.ndarray, bucket: np.ndarray, node: np.ndarray, group: np.ndarray, part: np.ndarray, mixed: np.ndarray, bands: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             rank = np.arange(len(key)) - np.repeat(starts, sizes)
@@ -132,12 +132,14 @@ def _meet(most: int | None, close: float):
                 for lo, n in zip(starts[sizes > most + 1].tolist(), sizes[sizes > most + 1].tolist()):
                     own = sig[lo : lo + n]
                     order[lo : lo + n] = lo + np.argsort(-(own == _middle(own)).sum(1), kind="stable")
-                node, group, part, mixed, sig = (x[order] for x in (node, group, part, mixed, sig))
+                node, group, part, mixed, bands, sig = (x[order] for x in (node, group, part, mixed, bands, sig))
                 at = at[rank < most]
             while len(at):
                 at = at[at + lag < len(key)]
                 at = at[key[at] == key[at + lag]]
                 near = at[(group[at] != group[at + lag]) & (~mixed[at] | (part[at] != part[at + lag]))]
+                shared = (bands[near] == bands[near + lag]).argmax(1)
+                near = near[bands[near, shared] == bucket[near]]  # a pair meets in the first band that it shares
                 near = near[(sig[near] == sig[near + lag]).sum(1) >= close]
                 if len(near):
                     a, b = node[near], node[near + lag]
@@ -146,7 +148,7 @@ def _meet(most: int | None, close: float):
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            new = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], _bytes(batch.columns[-1])]
+            new = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:-2]], batch.columns[-2].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS), _bytes(batch.columns[-1])]
             new = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
             ready = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
             if ready:
@@ -159,19 +161,22 @@ def _meet(most: int | None, close: float):
 
 
 def _cells(rows: DataFrame, sigs: DataFrame, most: int | None, close: float, crowd: int) -> DataFrame:
-    """a, b (a < b): candidates of the buckets in ``rows``. A crowded bucket's parts meet two by two."""
+    """a, b (a < b): candidates of the buckets in ``rows``, each in the first bucket that it shares. A crowded bucket's parts meet two by two.
+
+    That bucket is among ``rows`` as long as the pair is in two groups, or has met in all pairs before.
+    """
     rows = rows.join(sigs, "node")
     parts = F.when(F.col("n") > crowd, F.ceil(2 * F.col("n") / crowd)).otherwise(1).cast("int")
     cells = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    cells = cells.select("bucket", "node", "group", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "sig")
+    cells = cells.select("bucket", "node", "group", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "bands", "sig")
     key = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-    cells = cells.select(key.alias("key"), "node", "group", "part", (F.col("part") != F.col("other")).alias("mixed"), "sig")
+    cells = cells.select(key.alias("key"), "bucket", "node", "group", "part", (F.col("part") != F.col("other")).alias("mixed"), "bands", "sig")
     return cells.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(most, close), "a long, b long")
 
 
 def _stars(rows: DataFrame, sigs: DataFrame, close: float) -> DataFrame:
     """a, b (a < b): of each bucket in ``rows``, the candidates of the text most like the commonest bytes of a sample's signatures."""
-    rows = rows.join(sigs, "node")
+    rows = rows.join(sigs.drop("bands"), "node")
     some = rows.where(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SAMPLE)) == 0)
     middles = map_text(some.groupBy("bucket").agg(F.collect_list("sig")), _middles, "bucket long, other binary")
     like = map_text(rows.join(small_side(middles), "bucket").select("bucket", "node", "sig", "other"), _agreement, "bucket long, node long, same int")
@@ -230,7 +235,7 @@ def groups(nodes: DataFrame, shingle_sets, least: float = LEAST, crowd: int = CR
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
     rows, _ = stored(rows.withColumn("group", F.col("node")))
-    sigs = nodes.select("node", "sig")
+    sigs = nodes.select("node", "bands", "sig")
     own = shingle_sets(rows.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
     first, crowded = near.unionByName(_cells(rows, sigs, PIVOTS, close, crowd)), rows.where(F.col("n") > crowd)
     if not crowded.isEmpty():
