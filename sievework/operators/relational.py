@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -48,3 +49,25 @@ def replace_keys(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 def require_parents(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of child without a parent: empty where the reference holds."""
     return child.join(parent.select(*keys).distinct(), keys, "left_anti")
+
+
+def runs(df: DataFrame, group: str, order: list[str], label: str, name: str) -> DataFrame:
+    """``name`` counts a group's runs of one label, from 1: a row whose label differs from the row's before begins a run. Null is a label.
+
+    A group is one text, report or user: its rows are sorted in one task, which spills.
+    """
+    w = W.partitionBy(group).orderBy(*order)
+    begins = F.when((F.row_number().over(w) == 1) | ~F.lag(label).over(w).eqNullSafe(F.col(label)), 1).otherwise(0)
+    return df.withColumn("__begins", begins).withColumn(name, F.sum("__begins").over(w)).drop("__begins")
+
+
+def carried(df: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``name`` holds the last value that is not null up to each row of its group; null before the first."""
+    w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def out_of_order(df: DataFrame, group: str, order: list[str], place: str, name: str) -> DataFrame:
+    """``name`` is true where a row's place is less than that of the row before it; false where one of them is null or there is none."""
+    w = W.partitionBy(group).orderBy(*order)
+    return df.withColumn(name, F.coalesce(F.col(place) < F.lag(place).over(w), F.lit(False)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import policy, text
-from ..operators import evidence, relational, scoring
+from ..operators import evidence, relational, report, scoring
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,21 +387,53 @@ def citation_keys(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.citations(s).alias("c")).select("doc_id", F.array_join("c", "; ").alias("citations"), F.size("c").cast("long").alias("n"))
 
 
-@query(f"SELECT kind, count(*) AS claim_count, count(DISTINCT doc_id) AS papers, min(doc_id) AS first_paper FROM {ITEMS} WHERE kind IS NOT NULL AND len(flags) = 0 GROUP BY kind")
+#: Clean sentences as claims of the paper that is the document: their place, type, and citations by place.
+CLAIMS = f"(SELECT *, 'P' || (seq % 3 + 1) AS paper, 'P' || (seq % 3 + 1) || ' p' || (seq + 1) AS citation FROM {ITEMS} WHERE kind IS NOT NULL AND len(flags) = 0)"
+
+
+def _claims(spark, sf):
+    paper = F.concat(F.lit("P"), (F.col("seq") % 3 + 1).cast("string"))
+    clean = _items(spark, sf).where("kind is not null and size(flags) = 0")
+    return clean.select("doc_id", "seq", F.col("kind").alias("evidence_type"), F.col("sentence").alias("text"), paper.alias("paper"), F.concat(paper, F.lit(" p"), (F.col("seq") + 1).cast("string")).alias("citation"))
+
+
+@query(f"""SELECT doc_id, kind AS evidence_type, count(*) AS claim_count, CAST(count(DISTINCT paper) AS INTEGER) AS paper_count, string_agg(DISTINCT paper, ',' ORDER BY paper) AS papers, string_agg(citation, '; ' ORDER BY seq) AS citations,
+'Across ' || count(DISTINCT paper) || CASE WHEN count(DISTINCT paper) = 1 THEN ' paper, ' ELSE ' papers, ' END || kind || ' evidence includes ' || array_to_string(list(sentence ORDER BY seq)[1:3], '; ') || ' [' || string_agg(citation, '; ' ORDER BY seq) || '].' AS paragraph FROM {CLAIMS} GROUP BY doc_id, kind""")
 def clusters(spark, sf):
-    return _items(spark, sf).where("kind is not null and size(flags) = 0").groupBy("kind").agg(F.count("*").alias("claim_count"), F.countDistinct("doc_id").alias("papers"), F.min("doc_id").alias("first_paper"))
+    out = report.clusters(_claims(spark, sf), "doc_id", ["seq"])
+    return out.select("doc_id", "evidence_type", "claim_count", "paper_count", F.array_join("papers", ",").alias("papers"), F.array_join("citations", "; ").alias("citations"), "paragraph")
+
 
+_TOLD = ("improved accuracy", "decreased", "resistance was detected", "susceptibility was lower")
+_HOLDS = lambda *ts: "(" + " OR ".join(f"contains(lower(paragraph), '{t}')" for t in ts) + ")"
+_LABEL = f"""CASE kind WHEN 'result' THEN CASE WHEN {_HOLDS('detect', 'resistant-isolate', 'resistant isolate', 'resistance')} THEN 'Resistance detection' WHEN {_HOLDS('auroc', 'auc', 'accuracy', 'sensitivity', 'specificity', 'performance')} THEN 'Model performance'
+WHEN {_HOLDS('susceptibility', 'antibiotic', 'antimicrobial')} THEN 'Antimicrobial susceptibility' ELSE 'Result evidence' END WHEN 'method' THEN 'Methods' WHEN 'dataset_population' THEN 'Dataset and population' WHEN 'limitation' THEN 'Limitations' ELSE 'Claims' END"""
+_STANCE = f"CASE WHEN {_HOLDS(*report.NEGATIVE)} THEN 'negative' WHEN {_HOLDS(*report.POSITIVE)} THEN 'positive' ELSE 'neutral' END"
+TOLD = f"(SELECT doc_id, seq, kind, citation, sentence || CASE seq % 5 " + " ".join(f"WHEN {i} THEN ' {t}'" for i, t in enumerate(_TOLD)) + f" ELSE '' END AS paragraph FROM {CLAIMS})"
 
-@query(f"SELECT doc_id, bool_or(regexp_matches(sentence, '{NEGATED}', 'i')) AND bool_or(NOT regexp_matches(sentence, '{NEGATED}', 'i') AND regexp_matches(sentence, '{POSITIVE}', 'i')) AS conflict, count(*) AS n FROM {SENTS} GROUP BY doc_id")
+
+@query(f"""SELECT doc_id, 'G' || row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_count DESC, n_citations DESC, group_label) AS group_id, group_label, paragraph_count, n_citations AS citation_count, stances, conflict, CASE WHEN conflict THEN against ELSE '' END AS conflict_citations
+FROM (SELECT doc_id, label AS group_label, count(*) AS paragraph_count, CAST(count(DISTINCT citation) AS INTEGER) AS n_citations, coalesce(string_agg(DISTINCT stance, ',' ORDER BY stance) FILTER (stance <> 'neutral'), '') AS stances, count(DISTINCT stance) FILTER (stance <> 'neutral') = 2 AS conflict,
+string_agg(citation, '; ' ORDER BY seq) FILTER (stance <> 'neutral') AS against FROM (SELECT *, {_LABEL} AS label, {_STANCE} AS stance FROM {TOLD}) GROUP BY doc_id, label)""")
 def group_conflicts(spark, sf):
-    neg, pos = F.col("sentence").rlike("(?i)" + NEGATED), F.col("sentence").rlike("(?i)" + POSITIVE)
-    return sentence_split(spark, sf).groupBy("doc_id").agg((F.bool_or(neg) & F.bool_or(~neg & pos)).alias("conflict"), F.count("*").alias("n"))
+    told = F.get(F.array(*[F.lit(f" {t}") for t in _TOLD]), F.col("seq") % 5)
+    p = _claims(spark, sf).select("doc_id", F.col("seq").alias("ordinal"), F.lit("").alias("topic"), "evidence_type", F.concat("text", F.coalesce(told, F.lit(""))).alias("paragraph"), F.array("citation").alias("citations"))
+    return report.groups_of(p, "doc_id").select("doc_id", "group_id", "group_label", "paragraph_count", "citation_count", F.array_join("stances", ",").alias("stances"), "conflict", F.array_join("conflict_citations", "; ").alias("conflict_citations"))
+
+
+#: Claims of which some have no page and some no citation.
+LOOSE = f"(SELECT doc_id, seq, kind, seq % 6 AS page_number, CASE WHEN seq % 7 = 3 THEN '' ELSE citation END AS citation FROM {CLAIMS})"
+AUDITED = f"(SELECT doc_id, seq, kind, 'C' || row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['claim', 'method', 'result', 'dataset_population', 'limitation'], kind), seq) AS claim_id, CASE WHEN page_number > 0 AND citation <> '' THEN 'SUPPORTED' ELSE 'MISSING_PAGE_ANCHOR' END AS support_status FROM {LOOSE})"
+
 
+def _audited(spark, sf):
+    loose = _claims(spark, sf).withColumns({"page_number": F.col("seq") % 6, "citation": F.when(F.col("seq") % 7 == 3, "").otherwise(F.col("citation"))})
+    return report.claim_support(loose, "doc_id", ["seq"])
 
-@query(f"SELECT source, 'C' || row_number() OVER (PARTITION BY source ORDER BY kind, doc_id, seq) AS claim_id, doc_id, seq, kind FROM {ITEMS} JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE kind IN ('limitation', 'result') AND len(flags) = 0")
+
+@query(f"SELECT doc_id, seq, claim_id, kind AS evidence_type, support_status FROM {AUDITED}")
 def claim_ids(spark, sf):
-    i = _items(spark, sf).where("kind in ('limitation', 'result') and size(flags) = 0").select("doc_id", "seq", "kind").join(_t(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return i.select("source", F.concat(F.lit("C"), F.row_number().over(W.partitionBy("source").orderBy("kind", "doc_id", "seq"))).alias("claim_id"), "doc_id", "seq", "kind")
+    return _audited(spark, sf).select("doc_id", "seq", "claim_id", "evidence_type", "support_status")
 
 
 CLAIM = "list_distinct(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9]+'), lambda t: length(t) >= 3))"
@@ -424,47 +456,64 @@ def prev_speaker(spark, sf):
 
 @query("SELECT user_id, event_id, CAST(sum(CASE WHEN p IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS island FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")
 def section_islands(spark, sf):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, sf, "events").select("user_id", "event_id", "ts", "event_type").withColumn("p", F.lag("event_type").over(w))
-    return e.select("user_id", "event_id", F.sum(F.when(~F.col("p").eqNullSafe(F.col("event_type")), 1).otherwise(0)).over(w).alias("island"))
+    return relational.runs(_t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type", "island").select("user_id", "event_id", "island")
 
 
 @query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events")
 def carry_forward(spark, sf):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return _t(spark, sf, "events").select("user_id", "event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
+    return relational.carried(_t(spark, sf, "events"), "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "section").select("user_id", "event_id", "section")
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(l_shipdate < p, false) AS out_of_order FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM lineitem)")
 def plan_order_violations(spark, sf):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.col("l_shipdate") < F.lag("l_shipdate").over(w), F.lit(False)).alias("out_of_order"))
+    return relational.out_of_order(_t(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_shipdate", "out_of_order").select("l_orderkey", "l_linenumber", "out_of_order")
+
+
+#: Evidence rows with two citations in two forms; those with flags are blocked.
+ROWS = "(SELECT doc_id, seq, kind, trim(sentence) AS t, unnest(['P' || (seq % 3 + 1) || ' p1', 'P' || (seq % 2 + 1) || ' p2']) AS citation, round(0.5 + (seq % 5) / 10.0, 6) AS q, round(0.4 + (seq % 4) / 10.0, 6) AS p, round(0.3 + (seq % 3) / 10.0, 6) AS s FROM " + ITEMS + " WHERE len(flags) = 0 AND trim(sentence) <> '' AND seq % 11 <> 4)"
+
 
+def _index(spark, sf):
+    n = lambda c, k: (F.col("seq") % k + c).cast("string")
+    score = lambda base, k: F.round(base + (F.col("seq") % k) / 10.0, 6)
+    rows = _items(spark, sf).select(
+        "doc_id", F.col("sentence").alias("text"), F.concat(F.lit("P"), n(1, 3), F.lit(" p1; "), n(1, 2), F.lit(", p. 2")).alias("citation"), F.when(F.col("seq") % 11 == 4, "MATERIAL_GAP").otherwise("").alias("support_status"), F.when(F.size("flags") > 0, "blocked").alias("quality_label"),
+        F.col("seq").alias("ordinal"), F.col("kind").alias("evidence_type"), F.concat(F.lit("E"), F.col("seq").cast("string")).alias("row_id"), score(0.5, 5).alias("quality_score"), score(0.4, 4).alias("parse_confidence"), score(0.3, 3).alias("trust_score"),
+    )
+    return report.evidence_index(rows, "doc_id")
 
-@query("""SELECT o_orderkey, 'P' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS paper, CAST(coalesce(n, 0) AS BIGINT) AS n_evidence FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+
+@query(f"""SELECT doc_id, citation, string_agg(t, ' ' ORDER BY seq) FILTER (seq = opening) AS evidence, string_agg('E' || seq, ',' ORDER BY seq) AS row_ids FROM (SELECT *, min(seq) OVER (PARTITION BY doc_id, citation, t) AS opening FROM {ROWS}) GROUP BY doc_id, citation""")
 def cited_evidence(spark, sf):
-    n = _t(spark, sf, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    label = F.concat(F.lit("P"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-    return _t(spark, sf, "orders").select("o_orderkey", label.alias("paper")).join(n, "o_orderkey", "left").select("o_orderkey", "paper", F.coalesce("n", F.lit(0)).alias("n_evidence"))
+    return _index(spark, sf).select("doc_id", "citation", "evidence", F.array_join("evidence_row_ids", ",").alias("row_ids"))
 
 
-@query("SELECT o_orderkey, CASE WHEN n_evidence > 0 THEN 'SUPPORTED' ELSE 'MISSING' END AS status, n_evidence FROM (SELECT o_orderkey, CAST(coalesce(n, 0) AS BIGINT) AS n_evidence FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey)")
+@query(f"""SELECT doc_id, supported, missing_page_anchor, CAST(supported + missing_page_anchor = 0 AS INTEGER) AS material_gaps, supported + missing_page_anchor AS total_checked, CASE WHEN supported > 0 AND missing_page_anchor = 0 THEN 'pass' ELSE 'gaps' END AS status
+FROM (SELECT d.doc_id, count(*) FILTER (support_status = 'SUPPORTED') AS supported, count(*) FILTER (support_status <> 'SUPPORTED') AS missing_page_anchor FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN {AUDITED} a USING (doc_id) GROUP BY d.doc_id)""")
 def claim_audit(spark, sf):
-    return cited_evidence(spark, sf).select("o_orderkey", F.when(F.col("n_evidence") > 0, "SUPPORTED").otherwise("MISSING").alias("status"), "n_evidence")
+    return report.support_summary(_audited(spark, sf), _t(spark, sf, "documents"), "doc_id")
 
 
-@query("SELECT l_orderkey, round(min(l_discount), 6)::DOUBLE AS min_quality, round(min(l_tax), 6)::DOUBLE AS min_parse, count(*) AS evidence_count, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS evidence_types FROM lineitem GROUP BY l_orderkey")
+@query(f"SELECT doc_id, citation, min(q) AS min_quality_score, min(p) AS min_parse_confidence, min(s) AS min_trust_score, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS evidence_types FROM {ROWS} GROUP BY doc_id, citation")
 def cited_minimums(spark, sf):
-    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.round(F.min("l_discount"), 6).alias("min_quality"), F.round(F.min("l_tax"), 6).alias("min_parse"), F.count("*").alias("evidence_count"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("evidence_types"))
+    return _index(spark, sf).select("doc_id", "citation", "min_quality_score", "min_parse_confidence", "min_trust_score", F.array_join(F.array_sort("evidence_types"), ",").alias("evidence_types"))
+
 
+#: States of a report's audits, taken from a document's own columns.
+_AUDITS = {
+    "citation": ("n_chars < 200", "fail"), "faithfulness": ("lang = 'de'", "fallback"), "tier_a": ("n_chars % 11 = 0", "fallback"), "tier_b": ("n_chars % 3 = 0", "fallback"), "plan_adherence": ("n_chars % 13 = 0", "fallback"),
+    "semantic_faithfulness": ("n_chars % 17 = 0", "fallback"), "prose_quality": ("n_chars % 5 = 0", "fallback"), "critic": ("n_chars % 4 = 0", "not_run"),
+}
+_BAD = {k: f"coalesce({when}, false)" for k, (when, _) in _AUDITS.items()}
+_STOPS, _CAPS = ("citation", "faithfulness", "tier_a", "plan_adherence", "semantic_faithfulness"), {"citation": 40, "faithfulness": 45, "tier_a": 45, "tier_b": 55, "plan_adherence": 50, "semantic_faithfulness": 45, "prose_quality": 70}
+_STOPPED = "(" + " OR ".join(_BAD[k] for k in _STOPS) + ")"
 
-@query("""SELECT doc_id, CASE WHEN b THEN 'blocked' WHEN c AND s THEN 'publishable' ELSE 'needs_review' END AS verdict, CAST(least(100, CASE WHEN doc_id % 7 = 0 THEN 40 ELSE 100 END, CASE WHEN doc_id % 5 = 0 THEN 45 ELSE 100 END, CASE WHEN doc_id % 4 = 0 THEN 70 ELSE 100 END, CASE WHEN NOT b AND NOT (c AND s) THEN 85 ELSE 100 END) AS INTEGER) AS score
-FROM (SELECT doc_id, doc_id % 7 = 0 OR doc_id % 5 = 0 AS b, doc_id % 3 = 0 AS c, doc_id % 2 = 0 AS s FROM documents)""")
+
+@query(f"""SELECT doc_id, least(100, {", ".join(f"CASE WHEN {_BAD[k]} THEN {cap} ELSE 100 END" for k, cap in _CAPS.items())}, CASE WHEN NOT {_STOPPED} AND {_BAD['critic']} THEN 85 ELSE 100 END) AS score, CASE WHEN {_STOPPED} THEN 'blocked' WHEN {_BAD['critic']} THEN 'needs_review' ELSE 'publishable' END AS verdict,
+CASE WHEN {_STOPPED} THEN 'block' WHEN {_BAD['critic']} THEN 'human_review' ELSE 'publish' END AS action, array_to_string(list_filter([{", ".join(f"CASE WHEN {_BAD[k]} THEN '{k}{'_audit' if k == 'citation' else ''}_failed' END" for k in _CAPS)}, CASE WHEN NOT {_STOPPED} THEN CASE WHEN {_BAD['critic']} THEN 'critic_not_run' ELSE 'critic_passed' END END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""")
 def report_trust(spark, sf):
-    d = F.col("doc_id")
-    blocked, good = (d % 7 == 0) | (d % 5 == 0), (d % 3 == 0) & (d % 2 == 0)
-    caps = [F.when(d % 7 == 0, 40).otherwise(100), F.when(d % 5 == 0, 45).otherwise(100), F.when(d % 4 == 0, 70).otherwise(100), F.when(~blocked & ~good, 85).otherwise(100)]
-    return _t(spark, sf, "documents").select("doc_id", F.when(blocked, "blocked").when(good, "publishable").otherwise("needs_review").alias("verdict"), F.least(F.lit(100), *caps).alias("score"))
+    states = {k: F.when(F.expr(when), state).otherwise("pass") for k, (when, state) in _AUDITS.items()}
+    return _t(spark, sf, "documents").select("doc_id", report.report_trust(states).alias("r")).select("doc_id", "r.score", "r.verdict", "r.action", F.array_join("r.reasons", ",").alias("reasons"))
 
 
 def queries() -> dict:

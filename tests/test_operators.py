@@ -76,3 +76,14 @@ def test_stream_appends_once(spark, tmp_path):
     incremental.append_items(read(), out, ["id"], ["n"], str(tmp_path / "c1")).awaitTermination()
     incremental.append_items(read(), out, ["id"], ["n"], str(tmp_path / "c2")).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, "a", 1), (2, "c", 3)]
+
+
+def test_runs_carried_values_and_breaks_of_order(spark):
+    rows = spark.createDataFrame([("a", 1, None, 3), ("a", 2, None, 2), ("a", 3, "x", None), ("a", 4, "x", 1), ("a", 5, None, 1), ("b", 1, "x", 0)], "g string, i int, label string, place int")
+    run = relational.runs(rows, "g", ["i"], "label", "run")
+    assert [(r.g, r.i, r.run) for r in run.orderBy("g", "i").collect()] == [("a", 1, 1), ("a", 2, 1), ("a", 3, 2), ("a", 4, 2), ("a", 5, 3), ("b", 1, 1)]
+    last = relational.carried(rows, "g", ["i"], F.col("label"), "last")
+    assert [r["last"] for r in last.orderBy("g", "i").collect()] == [None, None, "x", "x", "x", "x"]
+    broken = relational.out_of_order(rows, "g", ["i"], "place", "broken")
+    assert [r.broken for r in broken.orderBy("g", "i").collect()] == [False, True, False, False, False, False]
+    assert relational.runs(rows.limit(0), "g", ["i"], "label", "run").count() == 0
