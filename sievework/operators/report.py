@@ -61,6 +61,11 @@ def terms(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*EMPTY_WORDS) & ((F.length(w) > 2) | w.rlike(r"^\d+$"))))
 
 
+def terms_support(claim: Column, evidence: Column) -> Column:
+    """Whether evidence shares enough of a claim's terms: one of up to three, two of more; a claim without terms needs none."""
+    return (F.size(claim) == 0) | (F.size(F.array_intersect(claim, evidence)) >= F.when(F.size(claim) <= 3, 1).otherwise(2))
+
+
 def overstatements(c: Column) -> Column:
     """Overstating phrases, each once, in the order of the patterns."""
     return F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.lower(c), F.lit(p), 0), lambda x: F.regexp_replace(x, r"\s+", " ")) for p in OVERSTATED])))
@@ -260,8 +265,7 @@ def claim_units(reports: DataFrame, index: DataFrame, gaps: DataFrame, report: s
     out = s.join(e, key, "left").withColumns({c: F.coalesce(c, none()) for c in ("unknown_citations", "evidence_types", "evidence_row_ids")})
     known = gaps.select(report, F.trim(F.regexp_replace("message", r"\s+", " ")).alias("text")).distinct().withColumn("_g", F.lit(True))
     out = out.join(known, [report, "text"], "left").withColumn("gap_allowed", F.when(F.col("claim_type") == "material_gap", F.coalesce("_g", F.lit(False)) | F.lower("text").rlike("^no .*evidence.*available|^no .*available.*evidence")))
-    shared = F.size(F.array_intersect("_t", terms(F.coalesce("evidence", F.lit("")))))
-    enough = (F.size("_t") == 0) | (shared >= F.when(F.size("_t") <= 3, 1).otherwise(2))
+    enough = terms_support(F.col("_t"), terms(F.coalesce("evidence", F.lit(""))))
     out = out.withColumn("support_status", F.when(F.col("claim_type") == "material_gap", "material_gap").when(F.col("_n") == 0, "uncited").when(F.size("unknown_citations") > 0, "unknown_citation").when(enough, "supported").otherwise("weak_support"))
     out = out.withColumn("risk_terms", unsupported_overstatements(F.col("text"), F.col("citations"), F.col("evidence")))
     verdict = F.when(F.col("support_status") == "material_gap", "material_gap").when(F.size("risk_terms") > 0, "overstated").when(F.col("support_status") == "supported", "supported").when(F.col("support_status") == "weak_support", "weak").otherwise("unsupported")
@@ -303,10 +307,11 @@ def plan_adherence(moves: DataFrame, units: DataFrame, report: str) -> DataFrame
     return bad.unionByName(loose.select(report, F.lit("unplanned_claim").alias("rule"), "section", F.col("claim_unit_id").alias("item"), "citations"))
 
 
-def prose_issues(reports: DataFrame, report: str, headings: tuple[str, ...] = (), blocked: DataFrame | None = None, text: str = "report") -> DataFrame:
+def prose_issues(reports: DataFrame, report: str, headings: tuple[str, ...] = (), blocked: DataFrame | None = None, text: str = "report", most_phrases: int = 5_000, most_bytes: int = 4_000_000) -> DataFrame:
     """Issues of a report's prose, one row for each rule (and blocked phrase), with up to five examples in order.
 
-    ``blocked`` holds learned phrases in a column ``phrase``, few enough to be compared with each line.
+    ``blocked`` holds learned phrases in a column ``phrase``. They are counted and meet the lines in blocks of up to ``most_phrases``
+    phrases and ``most_bytes`` bytes on average, so what is broadcast doesn't grow with them; each block is a pass over the lines.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     missing = F.filter(F.array(*[F.lit(h) for h in headings]) if headings else none(), lambda h: ~F.array_contains(F.transform(F.split(t, r"\r?\n"), lambda x: F.rtrim(x)), h))
@@ -325,8 +330,13 @@ def prose_issues(reports: DataFrame, report: str, headings: tuple[str, ...] = ()
     out = wide.unionByName(five(hit))
     if blocked is not None:
         raw = reports.select(report, F.posexplode(F.split(t, r"\r?\n")).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-        learned = raw.join(F.broadcast(blocked.select("phrase").where("trim(phrase) <> ''").distinct()), F.lower("line").contains(F.lower("phrase")))
-        out = out.unionByName(five(learned.withColumn("rule", F.lit("feedback_blocked_phrase"))))
+        phrases = blocked.select("phrase").where("trim(phrase) <> ''").distinct()
+        size = phrases.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("b")).first()
+        blocks = max(1, -(-size.n // most_phrases), -(-size.b // most_bytes))
+        for i in range(blocks):
+            block = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == i) if blocks > 1 else phrases
+            learned = raw.join(F.broadcast(block), F.lower("line").contains(F.lower("phrase")))
+            out = out.unionByName(five(learned.withColumn("rule", F.lit("feedback_blocked_phrase"))))
     return out
 
 

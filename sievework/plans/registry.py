@@ -169,21 +169,6 @@ def acronym_detect(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.acronyms(F.col("text")).alias("a")).where(F.size("a") > 0).select("doc_id", F.array_join("a", ",").alias("acronyms"))
 
 
-@query(f"""SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM (SELECT item_id, CAST(8 * len(list_intersect({TOK.format(c="split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")}, ['the', 'and', 'tion', 'with'])) + 4 * len(list_intersect({TOK.format(c='text')}, ['the', 'and', 'tion', 'with'])) AS INTEGER) AS score FROM benchmark) WHERE score >= 12 QUALIFY rank <= 20""")
-def corpus_route(spark, sf):
-    ask = F.array(*[F.lit(x) for x in ("the", "and", "tion", "with")])
-    title = F.concat_ws(" ", *[F.split_part("text", F.lit(" "), F.lit(k)) for k in (1, 2, 3)])
-    rows = _t(spark, sf, "benchmark").select("item_id", (8 * F.size(F.array_intersect(text.tokens(title), ask)) + 4 * F.size(F.array_intersect(text.tokens(F.col("text")), ask))).alias("score")).where("score >= 12")
-    top = rows.orderBy(F.desc("score"), "item_id").limit(20)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "item_id")))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN q = '' THEN trim(text) ELSE q END AS query FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(text), '^assistant[,: ]+', '', 'i'), '^(the|que|die|to) +', '', 'i')) AS q FROM conversations)""")
-def review_query_normalise(spark, sf):
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim("text"), "(?i)^assistant[,: ]+", ""), "(?i)^(the|que|die|to) +", ""))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", F.when(bare == "", F.trim("text")).otherwise(bare).alias("query"))
-
-
 # --- labels -----------------------------------------------------------------------------------------------------------
 
 
@@ -436,19 +421,6 @@ def claim_ids(spark, sf):
     return _audited(spark, sf).select("doc_id", "seq", "claim_id", "evidence_type", "support_status")
 
 
-CLAIM = "list_distinct(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9]+'), lambda t: length(t) >= 3))"
-
-
-@query(f"""SELECT s.doc_id, s.seq, len(list_intersect(c, b.t)) AS overlap, len(c) AS n_terms, len(list_intersect(c, b.t)) >= CASE WHEN len(c) <= 3 THEN 1 ELSE 2 END AS supported
-FROM (SELECT doc_id, seq, {CLAIM} AS c FROM {SENTS}) s JOIN (SELECT item_id, {TOK.format(c='text')} AS t FROM benchmark) b ON b.item_id = s.doc_id % (SELECT count(*) FROM benchmark)""")
-def lexical_support(spark, sf):
-    n_items = max(1, _t(spark, sf, "benchmark").count())
-    claims = sentence_split(spark, sf).select("doc_id", "seq", text.tokens(F.col("sentence")).alias("c"), (F.col("doc_id") % n_items).alias("item_id"))
-    j = claims.join(_t(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t")), "item_id")
-    n, k = F.size("c"), F.size(F.array_intersect("c", "t"))
-    return j.select("doc_id", "seq", k.cast("long").alias("overlap"), n.cast("long").alias("n_terms"), (k >= F.when(n <= 3, 1).otherwise(2)).alias("supported"))
-
-
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
 def prev_speaker(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")).alias("previous"))
@@ -528,4 +500,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Registers the queries of the other modules, which build on this one."""
-    from . import review, stores  # noqa: F401
+    from . import audits, review, stores  # noqa: F401

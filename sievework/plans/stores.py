@@ -11,7 +11,7 @@ from .registry import LAB, _labels, _t, query
 # --- label evaluation and review --------------------------------------------------------------------------------------
 
 _ITEM = "(SELECT doc_id AS normalized, source || '/' || doc_id AS source, source AS batch_id, lang AS title, coalesce(lang, '') <> 'fr' AS allowed, CAST(doc_id % 80 AS INTEGER) AS relevance_score FROM documents)"
-_QUEUE = "(SELECT doc_id AS normalized, CAST(doc_id // 7 AS INTEGER) AS review_queue_rank FROM documents WHERE doc_id % 7 = 0)"
+_QUEUE = "(SELECT doc_id AS normalized, doc_id + 1 AS review_queue_rank FROM documents WHERE n_chars >= 1500)"
 
 
 def _items(spark, sf):
@@ -25,7 +25,7 @@ def _set(spark, sf):
 
 
 def _queue(spark, sf):
-    return _t(spark, sf, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("normalized"), F.expr("cast(doc_id div 7 as int)").alias("review_queue_rank"))
+    return _t(spark, sf, "documents").where("n_chars >= 1500").select(F.col("doc_id").alias("normalized"), (F.col("doc_id") + 1).alias("review_queue_rank"))
 
 
 @query(f"SELECT count(*) AS comparable_count, count(*) FILTER (human = agent) AS correct_count, coalesce(count(*) FILTER (human = agent) / nullif(count(*), 0), 0)::DOUBLE AS accuracy FROM {LAB}")
@@ -89,11 +89,11 @@ def evidence_preview(spark, sf):
     return evaluation.preview(c, ["conv_id"], [F.col("turn")]).select("conv_id", "turn", "place")
 
 
-@query("""SELECT d.doc_id, p.paper, p.title, p.paper || ' p' || (d.doc_id % 9 + 1) AS citation FROM documents d JOIN (SELECT item_id, left(text, 20) AS title, 'P' || row_number() OVER (ORDER BY item_id) AS paper FROM benchmark WHERE item_id % 5 <> 0) p ON p.item_id = d.doc_id WHERE d.n_chars >= 300""")
+@query("""SELECT d.doc_id, p.paper, p.title, p.paper || ' p' || (d.doc_id % 9 + 1) AS citation FROM documents d JOIN (SELECT item_id, left(text, 20) AS title, 'P' || row_number() OVER (ORDER BY item_id) AS paper FROM benchmark WHERE item_id % 5 <> 0) p ON p.item_id = d.doc_id % (SELECT count(*) FROM benchmark) WHERE d.n_chars >= 300""")
 def cited_papers(spark, sf):
     b = _t(spark, sf, "benchmark").withColumn("source", F.concat(F.lit("b/"), "item_id"))
     artifacts = b.select(F.col("item_id").alias("artifact_id"), "source", F.when(F.col("item_id") % 5 != 0, "stored").otherwise("blocked").alias("status"))
-    found = _t(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("artifact_id"), (F.col("doc_id") % 9 + 1).alias("page_number"), F.when(F.col("n_chars") >= 300, "trusted").otherwise("review").alias("trust_label"))
+    found = _t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % max(1, b.count())).alias("artifact_id"), (F.col("doc_id") % 9 + 1).alias("page_number"), F.when(F.col("n_chars") >= 300, "trusted").otherwise("review").alias("trust_label"))
     return evaluation.cited_evidence(artifacts, b.select("source", F.left("text", F.lit(20)).alias("title")), found, [F.col("artifact_id")]).select("doc_id", "paper", "title", "citation")
 
 
@@ -194,13 +194,13 @@ def learned_terms(spark, sf):
     return topics.learned_terms(*(rows.join(marks.where(F.col("quality") == q), "doc_id", "left_semi") for q in (1, 0)), order="doc_id")
 
 
-@query("""SELECT conv_id, 'R' || row_number() OVER (PARTITION BY conv_id ORDER BY place, turn, rule) AS id, source, rule, severity FROM (SELECT conv_id, 0 AS place, turn, 'prose' AS source, 'source_author_voice' AS rule, 'important' AS severity FROM conversations WHERE turn % 3 = 1
-UNION ALL SELECT conv_id, 1, turn, 'critic', CASE WHEN role = 'user' THEN 'unsupported' ELSE 'critic_rejected' END, CASE WHEN role = 'user' THEN 'blocking' ELSE 'important' END FROM conversations WHERE turn % 4 = 2
-UNION ALL SELECT conv_id, 2, 0, 'draft_review', 'final_human_check', 'low' FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 3 = 1 OR turn % 4 = 2) = 0)""")
+@query("""SELECT conv_id, 'R' || row_number() OVER (PARTITION BY conv_id ORDER BY place, turn, rule) AS id, source, rule, severity FROM (SELECT conv_id, 0 AS place, turn, 'prose' AS source, 'source_author_voice' AS rule, 'important' AS severity FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, 1, turn, 'critic', CASE WHEN role = 'user' THEN 'unsupported' ELSE 'critic_rejected' END, CASE WHEN role = 'user' THEN 'blocking' ELSE 'important' END FROM conversations WHERE length(text) >= 400
+UNION ALL SELECT conv_id, 2, 0, 'draft_review', 'final_human_check', 'low' FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant' OR length(text) >= 400) = 0)""")
 def review_issues(spark, sf):
     c = _t(spark, sf, "conversations").withColumn("ordinal", F.col("turn").cast("long"))
-    prose = c.where("turn % 3 = 1").withColumn("rule", F.lit("source_author_voice"))
-    critic = c.where("turn % 4 = 2").withColumn("rule", F.when(F.col("role") == "user", "unsupported").otherwise("critic_rejected"))
+    prose = c.where("role = 'assistant'").withColumn("rule", F.lit("source_author_voice"))
+    critic = c.where("length(text) >= 400").withColumn("rule", F.when(F.col("role") == "user", "unsupported").otherwise("critic_rejected"))
     return drafts.review_items([("prose", "important", prose), ("critic", "important", critic)], c, "conv_id").select("conv_id", "id", "source", "rule", "severity")
 
 

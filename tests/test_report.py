@@ -137,3 +137,16 @@ def test_gates(spark):
     audits = {k: F.lit("pass") for k in ("citation", "prose_quality", "faithfulness", "plan_adherence", "semantic_faithfulness")}
     gate = lambda **k: spark.range(1).select(report.candidate_gate(F.lit(True), F.lit("x"), audits | {n: F.lit(v) for n, v in k.items()}, F.lit("pass")).alias("g")).first().g.reason
     assert gate() == "candidate_accepted" and gate(faithfulness="fallback", plan_adherence="fallback") == "faithfulness_failed" and gate(semantic_faithfulness="skipped") == "candidate_accepted"
+
+
+def test_learned_phrases_in_blocks(spark):
+    """More phrases than a block takes: all are still compared with all lines."""
+    r = spark.createDataFrame([("a", "One LES two\nthree"), ("b", None)], "id string, report string")
+    learned = spark.createDataFrame([(f"p{i}",) for i in range(7)] + [("les",), ("Three",), ("les",), (" ",), (None,)], "phrase string")
+    got = [sorted((x.phrase, x.rule, tuple(x.examples)) for x in report.prose_issues(r, "id", blocked=learned, most_phrases=n).collect()) for n in (2, 5_000)]
+    assert got[0] == got[1] == [("Three", "feedback_blocked_phrase", ("three",)), ("les", "feedback_blocked_phrase", ("One LES two",))]
+
+
+def test_terms_support(spark):
+    df = spark.createDataFrame([([], []), (["a"], ["a"]), (["a"], []), (["a", "b", "c", "d"], ["a"]), (["a", "b", "c", "d"], ["a", "d"])], "c array<string>, e array<string>")
+    assert [x.s for x in df.select(report.terms_support(F.col("c"), F.col("e")).alias("s")).collect()] == [True, True, False, False, True]
