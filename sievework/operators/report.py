@@ -366,7 +366,10 @@ def report_trust(status: dict[str, Column]) -> Column:
 
 
 def draft_issues(draft: Column, gaps: Column) -> Column:
-    """struct(reason, sentence) of uncited factual sentences, then of lines that say more than a known gap."""
+    """struct(reason, sentence) of uncited factual sentences, then of lines that say more than a known gap.
+
+    Drafts cite as ``[P1 p2]``: sentences are cut after a full stop, so one cited as ``[1, p. 2]`` counts as uncited.
+    """
     bare = lambda s: F.trim(F.regexp_replace(s, "^[-* ]+", ""))
     gap_text = lambda s: F.trim(F.regexp_replace(bare(s), "^MATERIAL GAP:", ""))
     is_gap = lambda s: bare(s).startswith("MATERIAL GAP:")
