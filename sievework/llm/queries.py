@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license, packing, piece_codec, quality, sharding, simhash, tokencount, topk, toxicity
+from . import langid, license, linededup, packing, piece_codec, quality, resampling, sharding, simhash, spelling, tokencount, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,26 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(_table(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op4_quality, op5_sharding, op6_toxicity, op7_topk, op8_language, op9_license, op10_pieces)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op4_quality, op5_sharding, op6_toxicity, op7_topk, op8_language, op9_license, op10_pieces, op11_spelling, op12_resampling, op13_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL expresses the whole result; the other queries are tested against brute force."""
-    return {"op7_topk": TOPK_SQL}
+    return {"op7_topk": TOPK_SQL, "op13_lines": LINES_SQL}
 
 
 TOPK_SQL = """
@@ -89,3 +102,12 @@ WITH v AS (
 )
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 """
+
+LINES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d)),
+f AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+p AS (SELECT r, count(f.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (f.key IS NULL), '') AS kept FROM l LEFT JOIN f ON l.key = f.key GROUP BY r)
+SELECT doc_id, len(ls) AS n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN p USING (r)
+"""
