@@ -108,6 +108,11 @@ def map_text(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 ...: names with dots, blanks or backticks then need no care; ``toDF(*names)`` brings them back."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 class Memo(dict):
     """A bounded memo: ``make(key)`` fills it; it starts anew once it holds ``most`` keys."""
 

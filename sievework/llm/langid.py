@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import cut, map_text, plain_names
 
 UNDEFINED, MARK = "und", "▁"
 #: Rounds of expectation-maximisation; added to each piece's count; the probability of a character outside the vocabulary.
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """docs whose language is found with a score of ``least`` or more; their columns as they are."""
+    """docs whose language is found with a score of ``least`` or more; their columns as they are, whatever their names."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,4 +276,5 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0
             got = s.predictions(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != UNDEFINED and g[1] >= least for g in got], pa.bool_()))
 
-    return map_text(docs, step, docs.schema)
+    rows = plain_names(docs)
+    return map_text(rows, step, rows.schema).toDF(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, map_text, small_side, stored, tidy
+from .common import cut, map_text, plain_names, small_side, stored, tidy
 from .simhash import components, shingle_hashes
 from .simhash import split_words as _split
 
@@ -264,6 +264,8 @@ def _hashable(field) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
     """The documents with one of each near-duplicate group: that of the smallest id (null last), and of wholly equal rows one."""
+    names, docs = docs.columns, plain_names(docs)
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     cols = docs.columns
     marks = [next(m for m in (f"__mark_{k}{'_' * n}" for n in range(len(cols) + 1)) if m not in cols) for k in "ab"]
     parts = [x for c in docs.schema.fields for x in (_hashable(c), F.col(f"`{c.name}`").isNull())]
@@ -285,4 +287,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     chosen = cut(first.join(copies, list(marks)))
     single = marked.join(chosen.where("__copies = 1"), list(marks), "left_semi").select(*cols)
     several = marked.join(chosen.where("__copies > 1"), list(marks), "left_semi").groupBy(*marks).agg(F.first(F.struct(*cols)).alias("r")).select("r.*")
-    return single.unionByName(several)
+    return single.unionByName(several).toDF(*names)

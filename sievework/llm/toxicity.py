@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, small_side
+from .common import cut, map_text, plain_names, small_side
 
 #: Homoglyphs that Unicode decomposition leaves apart, and substitutions. i, l, 1, | and ! fold to one letter.
 HOMOGLYPHS = dict(zip("асеорхуѕјһԁԛԝкмнтв", "aceopxysjhdqwkmhtb")) | dict(zip("αεορυκνηχτω", "aeopuknnxtw")) | {"і": "l", "ι": "l", "ı": "l", "ß": "ss"}
@@ -206,9 +206,9 @@ def _fit_cutoff(known: DataFrame, lexicon: Lexicon) -> float:
 
 
 def mark(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep_below: float | None = None) -> DataFrame:
-    """docs with a column toxicity, in place of one of that name; with ``keep_below``, docs of a lower score only, and their own columns alone."""
+    """docs with a column toxicity, in place of one of that name; with ``keep_below``, docs of a lower score only, and their own columns alone. Columns may have any names."""
     docs = docs if keep_below is not None else docs.drop("toxicity")
-    at, schema = docs.columns.index(text_col), docs.schema
+    at, rows = docs.columns.index(text_col), plain_names(docs)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(lexicon)
@@ -219,8 +219,9 @@ def mark(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep_below:
             else:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "toxicity"])
 
-    out = schema if keep_below is not None else type(schema)(schema.fields[:]).add("toxicity", "double")
-    return map_text(docs, step, out)
+    if keep_below is not None:
+        return map_text(rows, step, rows.schema).toDF(*docs.columns)
+    return map_text(rows, step, type(rows.schema)(rows.schema.fields[:]).add("toxicity", "double")).toDF(*docs.columns, "toxicity")
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -337,3 +337,17 @@ def test_topk_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     assert sorted(con.execute(queries.TOPK_SQL).fetchall()) == sorted(tuple(r) for r in queries.op7_topk(spark, SF).collect())
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    names = ["a.b", "a b", "a`b", "c0", "Text_", "node", "mark"]
+    docs = odd.withColumns({n: F.lit(k) for k, n in enumerate(names)}).unionByName(odd.limit(2).withColumns({n: F.lit(k) for k, n in enumerate(names)}))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = [tuple(r) for r in out.collect()]
+        assert kept and all(r[-len(names) :] == tuple(range(len(names))) for r in kept), name
+    assert corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).count() > 0
