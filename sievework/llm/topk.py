@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut
+from .common import cut, map_text
 
 SCALE, TOP = 1024, 10
 #: Below every score.
@@ -153,8 +153,7 @@ def search(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = TOP,
                 q, v, s = b.found()
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-            here = cut(rows.mapInArrow(step, "query_id long, vec_id long, score long"))
+            here = cut(map_text(rows, step, "query_id long, vec_id long, score long"))
             found = here if found is None else found.unionByName(here)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -26,3 +26,10 @@ def test_products_near_the_limit_and_beyond(spark):
     for far in (2.0**41, 2.0**60):
         with pytest.raises(Exception, match="outside the range of scores|no 64-bit integer"):
             topk.search(rows(spark, [(0, [far, 1.0]), (1, [far, 2.0])])).collect()
+
+
+def test_the_session_stays_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    topk.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).collect()
+    assert spark.conf.get(name) == before
