@@ -500,4 +500,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Registers the queries of the other modules, which build on this one."""
-    from . import audits, review, rounds, stores  # noqa: F401
+    from . import audits, planned, review, rounds, stores  # noqa: F401
