@@ -1,8 +1,10 @@
-"""Tables that a loop leaves behind: lineage is cut by a checkpoint in the folder that all executors share."""
+"""What jobs share: tables that a loop leaves behind, cut by a checkpoint in the folder that all executors see, and this package's code."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +34,17 @@ def counted(df: DataFrame, **sums) -> tuple[DataFrame, dict]:
     seen = Observation()
     out = durable(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()]))
     return out, seen.get
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package's code, once a context, for steps that run in Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievework_code", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._sievework_code = True

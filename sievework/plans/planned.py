@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import discovery
-from .registry import _t, query
+from ..functions import planning
+from ..operators import discovery, understanding
+from ..operators import model_labels as models
+from .audits import _LIST, _SQ, _pick
+from .registry import NORM, _t, query
 
 # --- discovery: an event is a candidate, a user's events of one kind are what a provider has for a variant ---------------
 
@@ -33,3 +36,88 @@ def discovery_ranked(spark, sf):
     variants = F.array(*[F.concat(F.lit("user "), (F.col("user_id") + k).cast("string")) for k in (0, 1)])
     asked = discovery.page_requests(users.select("user_id", variants.alias("variants"), (F.col("user_id") % 65).cast("int").alias("limit")), "user_id", _PAGE)
     return discovery.discovered(asked, pages, "user_id").select("user_id", "rank", "provider", "variant", "source")
+
+
+# --- acronyms and topics of each query ----------------------------------------------------------------------------------
+
+_HINTS = (" AMR isolates of the pathogen, amr", " AMR parsing and Mesh graphs", " AMR", " AST or MIC", " AST susceptibility by MALDI TOF", " NLP, CNN and XyZ9 text", " adaptive mesh grid AMR, text", " LLMs LLM", "")
+_SPOKEN = f"(SELECT conv_id, turn, text || {_LIST(_HINTS)}[CAST((conv_id + turn) % 9 AS INTEGER) + 1] AS q FROM conversations)"
+_REGISTRY = "(VALUES " + ", ".join(f"({_SQ(a)}, {i}, {_SQ(m)}, {_SQ(n)}, {_LIST(c)}, {needs})" for a, i, m, n, c, needs, silent in understanding.registry_rows() if not silent) + ") AS r(acronym, sense, meaning, intent, ctx, needs)"
+_SILENT = _LIST([a for a, senses in planning.ACRONYMS.items() if all(x.silent for x in senses)])
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, ' ' || {NORM.format(c='q')} || ' ' AS said, list_filter(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Za-z][A-Za-z0-9]{{1,7}}$') AND length(regexp_replace(w, '[^A-Z]', '', 'g')) >= 2) AS f FROM {_SPOKEN}),
+d AS (SELECT conv_id, turn, said, list_filter(f, lambda w, i: list_position(list_transform(f, lambda x: upper(x)), upper(w)) = i) AS a FROM q), t AS (SELECT conv_id, turn, said, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS place FROM d),
+v AS (SELECT t.*, r.*, len(list_filter(ctx, lambda c: contains(said, ' ' || {NORM.format(c='c')} || ' '))) AS votes, count(*) OVER (PARTITION BY conv_id, turn, place) AS senses FROM t JOIN {_REGISTRY} ON r.acronym = upper(token)),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY votes DESC, sense) AS k, list(meaning) OVER (PARTITION BY conv_id, turn, place ORDER BY sense ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every FROM v),
+s AS (SELECT conv_id, turn, place, acronym, meaning, intent, CASE WHEN senses = 1 THEN CASE WHEN needs THEN 'context_match' ELSE 'registry_single_sense' END WHEN votes > 0 THEN 'context_match' ELSE 'registry_default' END AS reason, list_filter(every, lambda m: m <> meaning) AS rejected FROM best WHERE k = 1 AND NOT (senses = 1 AND needs AND votes = 0))
+SELECT t.conv_id, t.turn, CAST(t.place AS INTEGER) AS place, coalesce(s.acronym, token) AS acronym, coalesce(meaning, token) AS meaning, coalesce(intent, 'unknown') AS intent, coalesce(reason, 'unresolved_acronym') AS reason, coalesce(array_to_string(rejected, '; '), '') AS rejected
+FROM t LEFT JOIN s ON s.conv_id = t.conv_id AND s.turn = t.turn AND s.place = t.place WHERE NOT list_contains({_SILENT}, upper(token))""")
+def acronym_senses(spark, sf):
+    registry = spark.createDataFrame(understanding.registry_rows(), understanding.REGISTRY)
+    asked = _t(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", _pick(_HINTS, F.col("conv_id") + F.col("turn"))).alias("query"))
+    return understanding.acronym_senses(asked, registry, ["conv_id", "turn"]).withColumn("rejected", F.array_join("rejected", "; "))
+
+
+#: Profiles whose terms stand in the tables' prose: id, domain, hint, match, required, core, positive, searches.
+_PROFILES = (
+    ("first", "unknown", None, ("nicht", "De la"), (), ("les  des", "core ONE"), ("Nicht", "plus"), ("first search",)), ("second", "roman", "careful", (), ("la", "los"), ("que", "en  el", "Core one"), (), ("second search", "FIRST  search")),
+    ("third", "german", "careful", ("der die", "und", "und"), ("die", "der", "das"), (), ("plus", "more"), ()), ("fourth", "roman", "Other", ("the of", "and"), (), ("never heard",), ("MORE",), ("fourth search",)),
+)
+_LISTED = {"match": 3, "required": 4, "core": 5, "positive": 6, "searches": 7}
+_P = "(VALUES " + ", ".join(f"({i}, {_SQ(p[0])}, {_SQ(p[1])}, {_SQ(p[2]) if p[2] else 'NULL'}, " + ", ".join(f"{_LIST(p[k])}::VARCHAR[]" for k in _LISTED.values()) + ")" for i, p in enumerate(_PROFILES)) + ") AS p(place, profile_id, domain, hint, match, required, core, positive, searches)"
+_IN = lambda xs: f"len(list_filter({xs}, lambda x: contains(said, ' ' || {NORM.format(c='x')} || ' ')))"
+
+def _union_sql(name: str, source: str) -> str:
+    """name(key, l): the ordered union of source(key, place, i, v)."""
+    return f"{name} AS (SELECT key, list(v ORDER BY place, i) AS l FROM (SELECT key, place, i, trim(regexp_replace(v, '\\s+', ' ', 'g')) AS v FROM ({source}) WHERE v IS NOT NULL AND trim(v) <> '' QUALIFY row_number() OVER (PARTITION BY key, lower(trim(regexp_replace(v, '\\s+', ' ', 'g'))) ORDER BY place, i) = 1) GROUP BY key)"
+
+
+_UNIONS = [_union_sql(f"u_{c}", f"SELECT key, place, unnest({c}) AS v, generate_subscripts({c}, 1) AS i FROM m" + (" UNION ALL SELECT key, -1, q, 0 FROM m" if c == "searches" else "")) for c in _LISTED] + [_union_sql("u_domain", "SELECT key, place, CASE WHEN domain <> 'unknown' THEN domain END AS v, 1 AS i FROM m"), _union_sql("u_hint", "SELECT key, place, hint AS v, 1 AS i FROM m")]
+
+
+@query(f"""WITH q AS (SELECT conv_id * 100 + turn AS key, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q, ' ' || {NORM.format(c='text')} || ' ' AS said FROM conversations),
+s AS (SELECT *, CASE WHEN len(required) > 0 AND {_IN('required')} = len(required) THEN 4 ELSE 0 END + 2 * CASE WHEN len(match) > 0 THEN {_IN('match')} ELSE {_IN('core')} END AS score, {_IN('list_concat(match, core)')} > 0 AS needed FROM q, {_P}), m AS (SELECT * FROM s WHERE score > 0), {', '.join(_UNIONS)},
+h AS (SELECT key, string_agg(profile_id, '+' ORDER BY place) AS ids, coalesce(string_agg(profile_id, ',' ORDER BY place) FILTER (needed), '') AS needed FROM m GROUP BY key)
+SELECT q.key, CASE WHEN ids IS NULL THEN 'unknown' ELSE 'composed.' || ids END AS profile_id, CASE WHEN ids IS NULL THEN 'unknown' ELSE coalesce(array_to_string(u_domain.l, '+'), '') END AS domain, array_to_string(u_hint.l, '+') AS hint, coalesce(needed, '') AS needed,
+{', '.join(f"CASE WHEN ids IS NULL THEN {'q.q' if c in ('core', 'searches') else repr('')} ELSE coalesce(array_to_string(u_{c}.l, '|'), '') END AS {c}" for c in _LISTED)} FROM q LEFT JOIN h USING (key) {' '.join(f"LEFT JOIN u_{c} ON u_{c}.key = q.key" for c in [*_LISTED, 'domain', 'hint'])}""")
+def topic_plans(spark, sf):
+    none = F.array().cast("array<string>")
+    rows = [(i, p[0], p[1], p[2], *[list(p[k]) for k in _LISTED.values()]) for i, p in enumerate(_PROFILES)]
+    profiles = spark.createDataFrame(rows, "place int, profile_id string, domain string, hint string, match array<string>, required array<string>, core array<string>, positive array<string>, searches array<string>").withColumns({"negative": none, "preferences": none})
+    asked = _t(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.col("text").alias("query"))
+    out = understanding.topic_plans(asked, profiles, ["key"])
+    return out.select("key", "profile_id", "domain", "hint", F.array_join("needed", ",").alias("needed"), *[F.array_join(c, "|").alias(c) for c in _LISTED])
+
+
+# --- a model's labels: a function of the payload stands for the model -----------------------------------------------------
+
+
+def _stub(payloads: list[str]) -> list:
+    """Answers of all kinds by an item's year, which holds the length of its text."""
+    import json
+
+    out = []
+    for p in payloads:
+        n = json.loads(p)["candidate"]["year"]
+        label, sure = ("relevant", "maybe", "irrelevant")[n % 3], n % 101 / 100
+        good = {"label": label, "confidence": sure, "rationale": f" length  {n} ", "evidence_terms": [f"t{n % 5}", "u v"], "exclusion_reason": None if n % 2 else "  off topic "}
+        bad = {0: {"label": "Relevant"}, 1: {"confidence": "0.5"}, 2: {"rationale": "  "}, 3: {"evidence_terms": ["a", " "]}, 4: {"confidence": 1.5}, 5: {"exclusion_reason": 7}, 6: {"evidence_terms": []}, 7: {"confidence": True}}.get(n % 16, {})
+        out.append(ValueError("busy") if n % 16 == 8 else "no object" if n % 16 == 9 else "[1]" if n % 16 == 10 else json.dumps(good | bad))
+    return out
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars AS n, n_chars % 16 AS k, quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+e AS (SELECT *, CASE k WHEN 0 THEN 'invalid_label' WHEN 1 THEN 'invalid_confidence' WHEN 2 THEN 'empty_rationale' WHEN 3 THEN 'invalid_evidence_terms' WHEN 4 THEN 'invalid_confidence' WHEN 5 THEN 'invalid_exclusion_reason' WHEN 7 THEN 'invalid_confidence' WHEN 8 THEN 'call_failed: busy' WHEN 9 THEN 'not_an_object' WHEN 10 THEN 'not_an_object' END AS err, coalesce(quality = 1, false) AS human FROM d)
+SELECT doc_id, CASE WHEN human THEN 'skipped_human' WHEN err IS NOT NULL THEN 'skipped_error' WHEN n % 101 < 40 THEN 'skipped_low_confidence' ELSE 'applied' END AS outcome, CASE WHEN ok THEN ['relevant', 'maybe', 'irrelevant'][CAST(n % 3 AS INTEGER) + 1] END AS label, CASE WHEN ok THEN round((n % 101) / 100.0, 3)::DOUBLE END AS confidence, CASE WHEN ok THEN 'length ' || n END AS rationale,
+CASE WHEN ok THEN CASE WHEN k = 6 THEN '' ELSE 't' || (n % 5) || ',u v' END END AS evidence_terms, CASE WHEN ok AND n % 2 = 0 THEN 'off topic' END AS exclusion_reason, CASE WHEN NOT human THEN err END AS error FROM (SELECT *, NOT human AND err IS NULL AS ok FROM e)""")
+def model_labels(spark, sf):
+    human = _t(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    items = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("provider"), F.col("text").alias("abstract"), F.col("n_chars").cast("int").alias("year")).join(human, "doc_id", "left")
+    asked = items.select("doc_id", F.when(F.col("quality") == 1, "human").alias("label_source"), model_labels_payload(items.columns).alias("payload"))
+    out = models.label_items(asked, ["doc_id"], _stub, least=0.4).decisions
+    return out.withColumn("evidence_terms", F.array_join("evidence_terms", ","))
+
+
+def model_labels_payload(columns: list[str]):
+    return models.label_payload(F.lit("what is known"), F.struct(F.lit("unknown").alias("intent")), columns)

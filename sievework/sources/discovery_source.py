@@ -18,8 +18,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions.durable import ship
 from ..operators.discovery import LARGEST_PAGE, PROVIDERS
 
 SCHEMA = "provider string, variant string, offset int, page_limit int, payload string, n int"
@@ -130,7 +132,7 @@ class _Stream(_Pages, DataSourceStreamReader):
 
 
 class DiscoverySource(DataSource):
-    """``spark.dataSource.register(DiscoverySource)``, then ``format("discovery")`` to read or readStream."""
+    """``register(spark)``, then ``format("discovery")`` to read or readStream."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,3 +148,9 @@ class DiscoverySource(DataSource):
         if "fetch" in self.options:
             raise ValueError("a stream reads recorded rounds; give it a path")
         return _Stream(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session, and its code to the executors."""
+    ship(spark)
+    spark.dataSource.register(DiscoverySource)

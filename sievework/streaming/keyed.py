@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.durable import ship
 from ..operators.store import label_errors
 
 _LABEL = "label string, label_source string, confidence double, note string, rationale string, signals string"
@@ -75,6 +76,7 @@ def label_stream(stream: DataFrame, keys: list[str], keep_ms: int | None = None)
     created_at, updated_at. Late events take their place by (at, ordinal), repeated ones change nothing. An event without a
     time or ordinal is refused. Update mode.
     """
+    ship(stream.sparkSession)
     text = lambda c: F.lower(F.trim(c))
     error = F.coalesce(label_errors(), F.when(F.col("at").isNull() | F.col("ordinal").isNull(), "no_place"))
     rest = [F.col(c).cast("string").alias(c) if c in stream.columns else F.lit(None).cast("string").alias(c) for c in ("note", "rationale", "signals")]
@@ -110,4 +112,5 @@ def first_arrivals(stream: DataFrame, keys: list[str], order: list[str], keep_ms
 
     Unlike ``incremental.append_items`` no batch reads what was written before: what is known of a key is its state.
     """
+    ship(stream.sparkSession)
     return stream.groupBy(*keys).transformWithState(statefulProcessor=_First(order, keep_ms), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None")

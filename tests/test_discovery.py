@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import discovery
 from sievework.sources import readers
-from sievework.sources.discovery_source import DiscoverySource, results_of, slug
+from sievework.sources.discovery_source import register, results_of, slug
 
 PAGES = "provider string, variant string, offset int, failed boolean, candidates array<struct<doi:string,pmid:string,arxiv_id:string,source:string>>"
 
@@ -48,7 +48,7 @@ def record(folder, round_, provider, variant, payload):
 
 
 def test_data_source(spark, tmp_path):
-    spark.dataSource.register(DiscoverySource)
+    register(spark)
     results = lambda *ks: json.dumps({"results": [work(k) for k in ks]})
     record(tmp_path, 0, "openalex", "Deep Nets", results(1, 2))
     record(tmp_path, 0, "arxiv", "Deep Nets", "<feed><entry>a</entry></feed>")
@@ -86,7 +86,7 @@ def fetched(provider, variant, offset, page_limit):
 
 
 def test_data_source_by_a_function(spark):
-    spark.dataSource.register(DiscoverySource)
+    register(spark)
     spark.sparkContext.addPyFile(__file__)
     got = spark.read.format("discovery").options(fetch="test_discovery:fetched", variants='["good", "bad"]', limit="60", page_size="2").load().collect()
     assert sorted((r.variant, r.offset, r.n) for r in got) == [("good", 0, 2), ("good", 2, 2), ("good", 4, 1)]
