@@ -1,12 +1,14 @@
 """Quality rules whose cutoffs are risk-controlled: DataFrame and SQL functions only.
 
-Rules reject a document whose feature exceeds a cutoff. On the labelled holdout's good documents (quality 1)
-of a stratum, rejecting at a cutoff is tested by an exact binomial (Clopper-Pearson) bound: the chance of
-seeing as few false rejections as were seen, were the true rate the rule's share of ``risk``, must be at most
-``error / number of tests`` (Bonferroni over strata, rules and the whole grid of cutoffs). All rules have equal
-shares, so the joint rejection by all of a stratum's rules keeps within ``risk``. Of the passing
-cutoffs the most useful is taken; a rule without one is off in that stratum. Strata are bands of document length,
-so their number is fixed.
+Rules reject a document whose feature exceeds a cutoff. In each stratum the rules are tightened step by step, from none to
+strict, and after each step the joint rejection by all rules is tested on the labelled holdout's good texts (quality 1) by
+an exact binomial (Clopper-Pearson) bound: the chance of seeing as few false rejections as were seen, were the true
+rate ``risk``, must be at most ``error`` over the number of strata tested (Bonferroni). The first step that fails ends the
+stratum and the last that passed holds. A sequence fixed in advance needs no further correction, and this one is fixed
+without the good texts: steps come from what the bad texts (quality 0) and those without a label exceed, the most telling
+first. Strata are bands of document length, so their number is fixed. Only strata with
+enough good texts to pass at all are tested (at the defaults 203 each if all three are, 149 for one alone); in others
+the base rules alone reject.
 
 A null text has no words and fails the base rules, as does an empty one. Labels that are null or missing
 take no part; of several labels for one doc_id or one text (by a 64-bit hash) the lowest counts, so copies of
@@ -125,31 +127,90 @@ def passes(rejected: int, good: int, risk: float, level: float) -> bool:
     return binomial_cdf(rejected, good, risk) <= level
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR) -> dict[tuple[int, str], float]:
-    """The chosen cutoff of each stratum and rule; one row of counts for each stratum comes to the driver.
+def _exceeded(grid: tuple[float, ...], value: str) -> Column:
+    """How many of a rule's cutoffs, which rise, a document exceeds."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in grid]), lambda c: F.expr(value) > c))
+
+
+def _shares(counts: dict[int, int], cutoffs_: int, whole: int) -> list[float]:
+    """Of ``whole`` documents, the share that exceeds each cutoff."""
+    out, n = [], 0
+    for k in range(cutoffs_ - 1, -1, -1):
+        n += counts.get(k + 1, 0)
+        out.append(n / whole if whole else 0.0)
+    return out[::-1]
+
 
-    With a column text_hash in ``feats`` each text counts once.
+def steps(bad: dict[str, list[float]], other: dict[str, list[float]], part: float, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, float]]:
+    """(rule, cutoff) by which the rules are tightened one after another, the most telling first.
+
+    bad, other: the shares of bad and of unlabelled texts that exceed each cutoff; ``part``: the share of bad ones among
+    all. What good texts would lose is what the unlabelled lose beyond their bad part. A step is worth what it adds
+    of bad texts less ``PRICE`` times what it costs of good ones; those worth nothing are left out.
+    """
+    chains = {}
+    for r in rules:
+        at, chains[r.name] = (0.0, 0.0), []
+        for k, c in reversed(list(enumerate(r.grid))):
+            now = (bad[r.name][k], max(0.0, (other[r.name][k] - part * bad[r.name][k]) / (1 - part)) if part < 1 else 0.0)
+            worth = now[0] - at[0] - PRICE * (now[1] - at[1])
+            if now[0] > at[0] and worth > 0:
+                chains[r.name].append((worth, c))
+                at = now
+    out = []
+    while any(chains.values()):
+        name = max((n for n in chains if chains[n]), key=lambda n: chains[n][0][0])
+        out.append((name, chains[name].pop(0)[1]))
+    return out
+
+
+def passed(rejected: list[int], good: int, risk: float, level: float) -> int:
+    """How many steps, in order, keep the risk; rejected: the good texts that each step and those before reject."""
+    for k, n in enumerate(rejected):
+        if not passes(n, good, risk, level):
+            return k
+    return len(rejected)
+
+
+def levels(good: dict[int, int], risk: float, error: float) -> dict[int, float]:
+    """The level of each stratum that is tested: as many strata, the largest first, as could each pass with no false rejection at ``error`` over their number."""
+    ranked = sorted(good, key=lambda s: (-good[s], s))
+    m = max((m for m in range(1, len(ranked) + 1) if passes(0, good[ranked[m - 1]], risk, error / m)), default=0)
+    return {s: error / m for s in ranked[:m]}
+
+
+def cutoffs(feats: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR) -> dict[tuple[int, str], float]:
+    """The chosen cutoff of each stratum and rule. Counts come to the driver, at most one for each stratum and cutoff.
 
-    All tests are corrected for together, so any passing cutoff may be chosen: it is the one with the greatest
-    share of bad documents rejected less ``PRICE`` times the share of good ones, the highest of equal ones.
+    With a column text_hash in ``feats`` each labelled text counts once, and copies of one aren't unlabelled texts.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = feats.where(~base_failed()).join(small_side(marks), "doc_id")
+    fine = feats.where(~base_failed())
+    marks = small_side(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    known, other = fine.join(marks, "doc_id"), fine.join(marks, "doc_id", "left_anti")
     if "text_hash" in known.columns:
         rest = [c for c in known.columns if c not in ("text_hash", "quality")]
-        known = known.groupBy("text_hash").agg(F.min("quality").alias("quality"), *[F.min(c).alias(c) for c in rest])
-    known = known.withColumn("s", stratum())
-    over = [F.count_if((F.col("quality") == y) & (F.expr(r.value) > F.lit(c))).alias(f"{r.name}_{k}_{y}") for r in rules for k, c in enumerate(r.grid) for y in (0, 1)]
-    level = error / ((len(BANDS) + 1) * sum(len(r.grid) for r in rules))
-    out = {}
-    for row in known.groupBy("s").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good"), *over).collect():
-        for r in rules:
-            best = 0.0
-            for k, c in reversed(list(enumerate(r.grid))):
-                bad, good = row[f"{r.name}_{k}_0"], row[f"{r.name}_{k}_1"]
-                gain = bad / max(row["bad"], 1) - PRICE * good / max(row["good"], 1)
-                if gain > best and passes(good, row["good"], risk / len(rules), level):
-                    best, out[row["s"], r.name] = gain, c
+        known = cut(known.groupBy("text_hash").agg(F.min("quality").alias("quality"), *[F.min(c).alias(c) for c in rest]))
+        other = other.join(small_side(known.select("text_hash")), "text_hash", "left_anti")
+    kinds = known.where("quality in (0, 1)").unionByName(other.withColumn("quality", F.lit(None).cast("int")), allowMissingColumns=True).withColumn("s", stratum())
+    cells = F.when(F.col("quality") == 1, F.array(F.struct(F.lit("").alias("rule"), F.lit(0).alias("k")))).otherwise(F.array(F.struct(F.lit("").alias("rule"), F.lit(0).alias("k")), *[F.struct(F.lit(r.name).alias("rule"), _exceeded(r.grid, r.value).alias("k")) for r in rules]))
+    seen = {(r.s, r.quality, r.rule, r.k): r["count"] for r in kinds.select("s", "quality", F.explode(cells).alias("c")).groupBy("s", "quality", "c.rule", "c.k").count().collect()}
+    order = {}
+    for s in range(len(BANDS) + 1):
+        whole = {q: seen.get((s, q, "", 0), 0) for q in (0, 1, None)}
+        share = {q: {r.name: _shares({k: n for (s_, q_, name, k), n in seen.items() if (s_, q_, name) == (s, q, r.name)}, len(r.grid), whole[q]) for r in rules} for q in (0, None)}
+        order[s] = steps(share[0], share[None], whole[0] / max(whole[0] + whole[1], 1), rules) if whole[0] and whole[1] else []
+    value = {r.name: r.value for r in rules}
+    first = F.lit(None).cast("int")
+    for s, moves in order.items():
+        if moves:
+            hit = F.array_min(F.array_compact(F.array(*[F.when(F.expr(value[name]) > F.lit(c), F.lit(k)) for k, (name, c) in enumerate(moves)])))
+            first = F.when(F.col("s") == s, hit).otherwise(first)
+    falls = {(r.s, r.first): r["count"] for r in known.where("quality = 1").withColumn("s", stratum()).groupBy("s", first.alias("first")).count().collect()}
+    good, out = {s: seen.get((s, 1, "", 0), 0) for s in order}, {}
+    for s, level in levels(good, risk, error).items():
+        rejected = [sum(falls.get((s, i), 0) for i in range(k + 1)) for k in range(len(order[s]))]
+        for name, c in order[s][: passed(rejected, good[s], risk, level)]:
+            out[s, name] = c
     return out
 
 

@@ -64,18 +64,35 @@ def test_quality_verdicts(spark, docs, labels):
         if r.doc_id in docs and not own[r.doc_id][1]:
             mark[docs[r.doc_id]].append((r.quality, r.doc_id))
     trials = [(min(v)[0], own[v[0][1]]) for v in mark.values()]
-    level = 0.05 / (3 * sum(len(r.grid) for r in quality.RULES))
+    marked, texts = {r.doc_id for r in labels}, set(mark)
+    loose = [f for d, f in own.items() if not f[1] and d not in marked and docs[d] not in texts]
+    sizes = {s: sum(q == 1 and band(f[0]) == s for q, f in trials) for s in range(3)}
+    able = next((m for m in (3, 2, 1) if sum(0.98**n <= 0.05 / m for n in sizes.values()) >= m), 0)
     chosen = {}
-    for s in range(3):
-        good, bad = ([f for q, f in trials if q == y and band(f[0]) == s] for y in (1, 0))
+    for s in sorted(sizes, key=lambda s: (-sizes[s], s))[:able]:
+        good, bad = ([f[2] for q, f in trials if q == y and band(f[0]) == s] for y in (1, 0))
+        rest = [f[2] for f in loose if band(f[0]) == s]
+        part, chains = len(bad) / (len(good) + len(bad)), {}
         for rule in quality.RULES:
-            best = 0.0
+            b0 = g0 = 0.0
+            chains[rule.name] = []
             for c in reversed(rule.grid):
-                x, y = (sum(f[2][rule.name] > c for f in fs) for fs in (good, bad))
-                gain = y / max(len(bad), 1) - 5.0 * x / max(len(good), 1)
-                chance = sum(math.comb(len(good), k) * 0.005**k * 0.995 ** (len(good) - k) for k in range(x + 1))
-                if gain > best and good and x < 0.005 * len(good) and chance <= level:
-                    best, chosen[s, rule.name] = gain, c
+                b, u = (sum(f[rule.name] > c for f in fs) / max(len(fs), 1) for fs in (bad, rest))
+                g = max(0.0, (u - part * b) / (1 - part))
+                worth = b - b0 - 5.0 * (g - g0)
+                if b > b0 and worth > 0:
+                    chains[rule.name].append((worth, c))
+                    b0, g0 = b, g
+        now = {}
+        while any(chains.values()):
+            name = max((n for n in chains if chains[n]), key=lambda n: chains[n][0][0])
+            now[name] = chains[name].pop(0)[1]
+            x = sum(any(f[n] > c for n, c in now.items()) for f in good)
+            chance = sum(math.comb(len(good), k) * 0.02**k * 0.98 ** (len(good) - k) for k in range(x + 1))
+            if x >= 0.02 * len(good) or chance > 0.05 / able:
+                break
+            chosen |= {(s, n): c for n, c in now.items()}
+    assert chosen
     want = {d: not failed and all(v <= chosen.get((band(n), name), math.inf) for name, v in ratios.items()) for d, (n, failed, ratios) in own.items()}
     got = quality.judge(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert {r.doc_id: r.kept for r in got} == want
