@@ -140,7 +140,7 @@ def load_corpora(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
     gone = spark.createDataFrame([(p, "missing_file") for p in missing], "path string, reason string")
     if not there:
         return spark.createDataFrame([], f"path string, x {CORPUS}").select("path", F.explode("x").alias("e")).select("path", "e.*"), gone
-    raw = spark.read.option("wholetext", True).text(there).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(there, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     entries = F.get_json_object("value", "$.literature_corpus")
     parsed = raw.select("path", F.try_parse_json("value").alias("m"), F.when(entries.startswith("["), F.from_json(entries, CORPUS)).alias("x"))
     bad = parsed.where("x is null").select("path", F.when(F.col("m").isNull(), "invalid_json").otherwise("invalid_corpus").alias("reason"))

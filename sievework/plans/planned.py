@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import planning
-from ..operators import discovery, understanding
+from ..operators import constraints, discovery, evidence_plan, records, report, understanding
 from ..operators import model_labels as models
 from .audits import _LIST, _SQ, _pick
 from .registry import NORM, _t, query
@@ -121,3 +121,93 @@ def model_labels(spark, sf):
 
 def model_labels_payload(columns: list[str]):
     return models.label_payload(F.lit("what is known"), F.struct(F.lit("unknown").alias("intent")), columns)
+
+
+# --- checks of a corpus: an event is a case, a user's events are a file ---------------------------------------------------
+
+_CASE = """CASE WHEN event_id % 23 = 0 THEN '{' WHEN event_id % 19 = 0 THEN '["case"]' ELSE '{"case_id": ' || CASE WHEN event_id % 11 = 0 THEN '5' WHEN event_id % 11 = 1 THEN '"silver.' || event_id || '"' ELSE '"gold.' || (event_id % 4001) || '"' END || ', "type": "' || CASE WHEN event_id % 7 = 0 THEN event_type ELSE 'ranking' END || '", "description": ' || CASE event_id % 13 WHEN 0 THEN '"  "' WHEN 1 THEN 'null' ELSE '"about ' || user_id || '"' END || ', "expected": ' || CASE WHEN event_id % 17 = 0 THEN '[]' ELSE props END || '}' END"""
+
+
+@query(f"""WITH c AS (SELECT user_id, event_id, CASE WHEN json_valid(j) THEN j END AS j FROM (SELECT user_id, event_id, {_CASE} AS j FROM events)), k AS (SELECT *, CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.case_id') = 'VARCHAR' AND starts_with(json_extract_string(j, '$.case_id'), 'gold.') THEN json_extract_string(j, '$.case_id') END AS case_id FROM c),
+d AS (SELECT *, case_id IS NOT NULL AND row_number() OVER (PARTITION BY case_id ORDER BY user_id, event_id) > 1 AS again FROM k)
+SELECT * FROM (SELECT user_id, event_id, CASE WHEN j IS NULL THEN 'unreadable' WHEN json_type(j) <> 'OBJECT' THEN 'not_an_object' WHEN case_id IS NULL THEN 'bad_case_id' WHEN again THEN 'duplicate_case_id' WHEN NOT list_contains({_LIST(constraints.CASE_TYPES)}, json_extract_string(j, '$.type')) THEN 'unsupported_type'
+WHEN coalesce(json_type(j, '$.description'), '') <> 'VARCHAR' OR trim(json_extract_string(j, '$.description')) = '' THEN 'no_description' WHEN coalesce(json_type(j, '$.expected'), '') <> 'OBJECT' THEN 'no_expected' END AS rule, case_id FROM d) WHERE rule IS NOT NULL""")
+def case_violations(spark, sf):
+    cases = _t(spark, sf, "events").select("user_id", "event_id", F.expr(_CASE).alias("json"))
+    return constraints.violations(cases, "gold.", ["user_id", "event_id"])
+
+
+# --- records of runs ------------------------------------------------------------------------------------------------------
+
+
+def _row_sql(columns: list[str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns)) + ")"
+
+
+_HEX = lambda k: f"list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(substr(h, {1 + k * 14}, 14), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS HUGEINT))), lambda a, b: a * 16 + b)"
+
+
+def _digest_sql(source: str, keys: str, columns: list[str]) -> str:
+    by = f"{keys}, " if keys else ""
+    parts = ", ".join(f"sum({_HEX(k)}) AS d{k}" for k in range(4))
+    return f"(SELECT {by}n AS rows, sha256(concat_ws('-', n, CAST(d0 AS HUGEINT), CAST(d1 AS HUGEINT), CAST(d2 AS HUGEINT), CAST(d3 AS HUGEINT))) AS digest FROM (SELECT {by}count(*) AS n, {parts} FROM (SELECT {by}sha256({_row_sql(columns)}) AS h FROM {source}){f' GROUP BY {keys}' if keys else ''}))"
+
+
+@query(f"SELECT * FROM {_digest_sql('conversations', 'role', ['conv_id', 'turn', 'text'])} UNION ALL SELECT 'all', * FROM {_digest_sql('documents', '', ['doc_id', 'text', 'lang', 'source', 'n_chars'])}")
+def table_digests(spark, sf):
+    whole = records.digest(_t(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    return records.digest(_t(spark, sf, "conversations").select("role", "conv_id", "turn", "text"), ["role"]).unionByName(whole.withColumn("role", F.lit("all")))
+
+
+_ITEM = "(SELECT source, CAST(doc_id AS VARCHAR) AS normalized, lang AS provider, 'about ' || (doc_id % 3) AS query_variant, n_chars >= 300 AS allowed FROM documents)"
+
+
+@query(f"""WITH i AS (SELECT source, count(*) AS screened_count, count(*) FILTER (NOT coalesce(allowed, false)) AS blocked_count, coalesce(array_to_string(list_sort(list(DISTINCT provider) FILTER (provider <> '')), ','), '') AS providers, array_to_string(list_sort(list(DISTINCT query_variant)), ',') AS variants FROM {_ITEM} GROUP BY source),
+a AS (SELECT source, count(*) AS pdf_attempt_count, count(*) FILTER (n_chars >= 1000) AS stored_pdf_count, count(*) FILTER (n_chars >= 1000 AND doc_id % 10 < 6) AS low, round(avg((doc_id % 10) / 10.0) FILTER (n_chars >= 1000), 3)::DOUBLE AS mean FROM documents GROUP BY source),
+l AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) AS relevant, count(*) FILTER (quality = 1 AND toxic = 1) AS maybe, count(*) FILTER (quality = 0) AS irrelevant, count(*) FILTER (doc_id % 2 = 0) AS human FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT i.source, screened_count, screened_count - blocked_count AS allowed_count, providers, variants, pdf_attempt_count, stored_pdf_count, low AS low_confidence_count, mean AS average_parse_confidence, coalesce(relevant, 0) AS relevant, coalesce(maybe, 0) AS maybe, coalesce(irrelevant, 0) AS irrelevant, coalesce(human, 0) AS human_labels, digest AS items_digest
+FROM i JOIN a USING (source) LEFT JOIN l USING (source) JOIN {_digest_sql(_ITEM, 'source', ['normalized', 'provider', 'query_variant', 'allowed'])} g USING (source)""")
+def batch_passports(spark, sf):
+    d, n = _t(spark, sf, "documents"), F.col("doc_id")
+    items = d.select("source", n.cast("string").alias("normalized"), F.col("lang").alias("provider"), F.concat(F.lit("about "), (n % 3).cast("string")).alias("query_variant"), (F.col("n_chars") >= 300).alias("allowed"))
+    artifacts = d.select("source", F.when(F.col("n_chars") >= 1000, "stored").otherwise("failed").alias("status"), ((n % 10) / 10.0).alias("parse_confidence"))
+    label = F.when(F.col("quality") == 0, "irrelevant").when(F.col("toxic") == 1, "maybe").otherwise("relevant")
+    labels = _t(spark, sf, "labels").join(d.select("doc_id", "source"), "doc_id").select("source", label.alias("label"), F.when(n % 2 == 0, "human").otherwise("agent").alias("label_source"))
+    p = records.batch_passports(d.select("source").distinct(), items, artifacts, labels, "source")
+    return p.select("source", "batch.screened_count", "batch.allowed_count", F.array_join("search.providers_observed", ",").alias("providers"), F.array_join("search.query_variants_observed", ",").alias("variants"), "artifacts.pdf_attempt_count", "artifacts.stored_pdf_count", "artifacts.low_confidence_count", "artifacts.average_parse_confidence", "screening_labels.relevant", "screening_labels.maybe", "screening_labels.irrelevant", "screening_labels.human_labels", F.col("repro_lock.items_digest").alias("items_digest"))
+
+
+# --- evidence plans: an order is a report, its line items are the evidence ------------------------------------------------
+
+_KINDS = ("claim", "method", "result", "limitation", "dataset_population", "method_detail", "note")
+_PLACES = ("claims", "methods", "results", "limitations", "", "", "populations")
+_SECTIONS = ("background", "methods", "results", "limitations", "all")
+_TEXTS = ("plain words", "Keywords: a", "formally given", "more words", "x")
+_LINE = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem)"
+
+
+@query(f"""WITH own AS (SELECT l_orderkey AS k, {_LIST(_SECTIONS)}[CAST(l_orderkey % 5 AS INTEGER) + 1] AS section, n AS ordinal, 'E' || (n % 4) AS row_id, {_LIST(_PLACES)}[CAST(l_partkey % 7 AS INTEGER) + 1] AS tab, 'P' || (l_suppkey % 3) || ' p' || (n % 2) AS citation, {_LIST(_TEXTS)}[CAST(l_suppkey % 5 AS INTEGER) + 1] AS t, {_LIST(_KINDS)}[CAST(l_partkey % 7 AS INTEGER) + 1] AS kind, l_partkey AS p, l_suppkey AS s FROM {_LINE} WHERE l_tax <> 0.08),
+used AS (SELECT *, CASE WHEN t LIKE 'Keywords%' THEN 'front_matter' WHEN t LIKE 'formally%' THEN 'formula_detail' WHEN list_contains({_LIST(report.ROLES)}, kind) THEN kind ELSE 'claim' END AS role FROM own WHERE CASE WHEN tab <> '' THEN section = 'all' OR list_contains(CASE section WHEN 'background' THEN ['claims', 'methods', 'results', 'populations'] ELSE [section] END, tab) ELSE section = 'all' OR list_contains(CASE section WHEN 'background' THEN ['claim', 'method', 'result', 'dataset_population'] WHEN 'methods' THEN ['method'] WHEN 'results' THEN ['result'] ELSE ['limitation'] END, kind) END),
+ours AS (SELECT *, CASE role WHEN 'front_matter' THEN 'exclude' WHEN 'formula_detail' THEN 'appendix' WHEN 'method_detail' THEN 'appendix' ELSE 'include' END AS action FROM used),
+base AS (SELECT * FROM ours QUALIFY row_number() OVER (PARTITION BY k, section, row_id, citation ORDER BY ordinal DESC) = 1),
+theirs AS (SELECT l_orderkey AS k, n AS place, 'E' || (n % 3) AS row_id, 'P' || (l_suppkey % 3) || ' p' || (n % 2) AS citation, CASE WHEN l_partkey % 3 = 0 THEN 'exclude' WHEN l_partkey % 3 = 1 THEN 'drop' ELSE '' END AS action FROM {_LINE} WHERE l_orderkey % 3 > 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, 'E' || (n % 3), 'P' || (l_suppkey % 3) || ' p' || (n % 2) ORDER BY n) = 1),
+valid AS (SELECT b.k, section, place, b.row_id, b.citation, CASE WHEN t.action = 'exclude' THEN 'exclude' ELSE b.action END AS action, 'pass' AS status FROM base b JOIN theirs t ON t.k = b.k AND t.row_id = b.row_id AND t.citation = b.citation),
+merged AS (SELECT * FROM valid UNION ALL SELECT k, section, ordinal, row_id, citation, action, 'fallback' FROM ours o WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.k = o.k)),
+c AS (SELECT k, section, status, action, citation, min(place) AS place FROM merged GROUP BY ALL), r AS (SELECT k, section, status, action, row_id, min(place) AS place FROM merged GROUP BY ALL),
+cs AS (SELECT k, section, status, {', '.join(f"coalesce(string_agg(citation, ';' ORDER BY place, citation) FILTER (action = '{a}'), '') AS {a}_citations" for a in evidence_plan.ACTIONS)} FROM c GROUP BY ALL), rs AS (SELECT k, {', '.join(f"coalesce(string_agg(row_id, ';' ORDER BY place, row_id) FILTER (action = '{a}'), '') AS {a}_row_ids" for a in evidence_plan.ACTIONS)} FROM r GROUP BY ALL)
+SELECT k, section, status AS planner_status, {', '.join(f'{a}_{n}' for a in evidence_plan.ACTIONS for n in ('citations', 'row_ids'))} FROM cs JOIN rs USING (k)""")
+def evidence_plans(spark, sf):
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    line = _t(spark, sf, "lineitem").withColumn("n", n)
+    s = lambda c: c.cast("string")
+    k, at = F.col("l_orderkey"), F.col("n")
+    section = _pick(_SECTIONS, k)
+    citation = F.concat(F.lit("P"), s(F.col("l_suppkey") % 3), F.lit(" p"), s(at % 2))
+    trust = F.when(F.col("l_tax") == 0.08, "suspect").when(F.col("l_tax") == 0.0, None).otherwise("trusted")
+    own = line.select(k.alias("k"), section.alias("section"), at.alias("ordinal"), F.concat(F.lit("E"), s(at % 4)).alias("row_id"), _pick(_PLACES, F.col("l_partkey")).alias("table"), citation.alias("citation"), _pick(_TEXTS, F.col("l_suppkey")).alias("text"), _pick(_KINDS, F.col("l_partkey")).alias("evidence_type"), trust.alias("trust_label"))
+    action = F.when(F.col("l_partkey") % 3 == 0, "exclude").when(F.col("l_partkey") % 3 == 1, "drop")
+    one = F.struct(at.alias("place"), F.struct(F.concat(F.lit("E"), s(at % 3)).alias("row_id"), citation.alias("citation"), action.alias("action")).alias("r"))
+    said = line.groupBy(k.alias("k"), section.alias("section")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    answers = said.select("k", "section", (F.col("k") % 3 > 0).alias("success"), F.concat(F.lit("Plan: "), F.to_json(F.struct(F.col("x.r").alias("rows")))).alias("answer"))
+    plans = evidence_plan.section_plans(evidence_plan.reconciled(evidence_plan.planned_rows(own, ["k"]), evidence_plan.planner_rows(answers, ["k"]), ["k"]), ["k"])
+    return plans.select("k", "section", "planner_status", *[F.array_join(f"{a}_{x}", ";").alias(f"{a}_{x}") for a in evidence_plan.ACTIONS for x in ("citations", "row_ids")])

@@ -16,7 +16,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
     CSV: the first column, rows that start with "source" left out. Lists: one a line, comments left out. Blank ones go in both.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.left("value", F.lit(4096)).contains(",").alias("csv"), F.explode(F.split("value", r"\r\n|\r|\n")).alias("line"))
     quoted = F.replace(F.regexp_extract("line", r'^"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
     first = F.when(F.startswith("line", F.lit('"')), quoted).otherwise(F.substring_index("line", ",", 1))
@@ -45,7 +45,7 @@ def summaries(payloads: DataFrame, col: str = "payload") -> DataFrame:
 
 def atom(spark: SparkSession, path: str) -> DataFrame:
     """Candidates of Atom feeds, one feed a file."""
-    return atom_candidates(spark.read.option("wholetext", True).text(path), "value")
+    return atom_candidates(spark.read.text(path, wholetext=True), "value")
 
 
 def pages(text: Column) -> Column:
