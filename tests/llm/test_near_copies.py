@@ -107,3 +107,33 @@ def test_one_vocabulary_in_many_orders(spark):
             b[k], b[k + 1] = b[k + 1], b[k]
             texts += [" ".join(a), " ".join(b)]
         assert len(kept(spark, texts)) == len(brute_kept(texts)) == n
+
+
+def test_groups_of_real_documents_equal_all_pairs(spark):
+    """Whole result against every pair of texts that share a shingle: recall 1, of each group the smallest id stays."""
+    from collections import Counter, defaultdict
+
+    from sievework.llm import simhash_groups as G
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) if len(w := (t or "").lower().encode().split()) >= 5 else {tuple(w)} if w else set() for i, t in rows}
+    index = defaultdict(list)
+    for i, s in sets.items():
+        for x in s or {None}:
+            index[x].append(i)
+    shared = Counter((a, b) for ids in index.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = 0
+    for (a, b), n in shared.items():
+        if not sets[a] and not sets[b] or n >= G.LEAST * (len(sets[a]) + len(sets[b]) - n):
+            pairs += 1
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    kept = {r.doc_id for r in G.keep_one(docs).select("doc_id").collect()}
+    assert pairs > 20 and kept == {i for i in sets if root(i) == i}
