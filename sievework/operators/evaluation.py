@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .relational import ranked
+
 #: The columns of a label export, in order.
 EXPORT_FIELDS = (
     "schema_version", "batch_id", "batch_mode", "query", "batch_limit", "batch_created_at", "source", "normalized", "allowed", "source_reason", "source_domain",
@@ -167,10 +169,7 @@ def evidence_gaps(stored: int, screened: int, failed: int, blocked: int, low_tru
 
 
 def cited_evidence(artifacts: DataFrame, items: DataFrame, evidence: DataFrame, order: list[Column]) -> DataFrame:
-    """Trusted evidence of stored artifacts with the paper's label (P1, P2, ... by ``order``), its item's title and citation.
-
-    Labels come from the stored artifacts of one batch, a list that a report prints, so one window numbers them.
-    """
-    stored = artifacts.where("status = 'stored'").withColumn("paper", F.concat(F.lit("P"), F.row_number().over(W.orderBy(*order)))).select("artifact_id", "source", "paper")
+    """Trusted evidence of stored artifacts with the paper's label (P1, P2, ... by ``order``), its item's title and citation."""
+    stored = ranked(artifacts.where("status = 'stored'"), order, "paper").select("artifact_id", "source", F.concat(F.lit("P"), F.col("paper").cast("string")).alias("paper"))
     papers = stored.join(items.select("source", "title"), "source", "left")
     return evidence.where("trust_label = 'trusted'").join(papers, "artifact_id").withColumn("citation", F.concat("paper", F.lit(" p"), "page_number"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.durable import durable
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the least by ``order``: an aggregate with a map-side part, so a hot key costs no more than others."""
@@ -71,3 +73,18 @@ def out_of_order(df: DataFrame, group: str, order: list[str], place: str, name:
     """``name`` is true where a row's place is less than that of the row before it; false where one of them is null or there is none."""
     w = W.partitionBy(group).orderBy(*order)
     return df.withColumn(name, F.coalesce(F.col(place) < F.lag(place).over(w), F.lit(False)))
+
+
+def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """df with each row's place from 1 by ``order``, which must be unique: sorted ranges are stored, and each counts on from those before.
+
+    No task sorts all rows, as it would under a window without partition. A row's place in its range is the low part of
+    its id; the driver sees one count for each range.
+    """
+    rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    before, sums = 0, []
+    for r in sorted(rows.groupBy("_part").count().collect()):
+        sums.append((r[0], before))
+        before += r[1]
+    moved = df.sparkSession.createDataFrame(sums, "_part long, _before long")
+    return rows.join(F.broadcast(moved), "_part").withColumn(name, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_id", "_part", "_before")

@@ -87,3 +87,12 @@ def test_runs_carried_values_and_breaks_of_order(spark):
     broken = relational.out_of_order(rows, "g", ["i"], "place", "broken")
     assert [r.broken for r in broken.orderBy("g", "i").collect()] == [False, True, False, False, False, False]
     assert relational.runs(rows.limit(0), "g", ["i"], "label", "run").count() == 0
+
+
+def test_ranked_by_ranges(spark):
+    rows = [(k, None if k % 50 == 0 else k * 7919 % 1009) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    out = relational.ranked(df, [F.desc_nulls_last("v"), "k"])
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.k, r.v) for r in sorted(out.collect(), key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in out.collect()) == list(range(1, 1001))
+    assert out.columns == ["k", "v", "rank"] and relational.ranked(df.where("false"), ["k"]).count() == 0
