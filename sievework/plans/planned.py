@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import planning
-from ..operators import constraints, discovery, evidence_plan, records, report, understanding
+from ..operators import constraints, discovery, evidence_plan, gated, records, report, understanding
 from ..operators import model_labels as models
 from .audits import _LIST, _SQ, _pick
 from .registry import NORM, _t, query
@@ -211,3 +211,29 @@ def evidence_plans(spark, sf):
     answers = said.select("k", "section", (F.col("k") % 3 > 0).alias("success"), F.concat(F.lit("Plan: "), F.to_json(F.struct(F.col("x.r").alias("rows")))).alias("answer"))
     plans = evidence_plan.section_plans(evidence_plan.reconciled(evidence_plan.planned_rows(own, ["k"]), evidence_plan.planner_rows(answers, ["k"]), ["k"]), ["k"])
     return plans.select("k", "section", "planner_status", *[F.array_join(f"{a}_{x}", ";").alias(f"{a}_{x}") for a in evidence_plan.ACTIONS for x in ("citations", "row_ids")])
+
+
+# --- tuning: an order is a proposal, its line items are its actions and the reports of its gates ---------------------------
+
+_TARGETS = ("report_prose_quality", "topic_profile", "", "other", "citation_audit", "topic_routing")
+_SUITES = ("gold", "real-smoke", "core")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN ['core'] WHEN o_orderkey % 4 = 1 THEN ['gold', ' '] ELSE [] END AS own, CASE WHEN o_orderkey % 7 = 0 THEN ['real-smoke', 'core'] END AS named, CASE WHEN o_orderstatus = 'P' THEN 'rejected' ELSE 'approved' END AS decision, CASE WHEN o_orderkey % 9 = 0 THEN 'applied' ELSE 'not_applied' END AS state FROM orders),
+g AS (SELECT k, CASE WHEN k % 11 = 0 THEN NULL ELSE decision END AS decision, CASE WHEN k % 11 = 0 THEN NULL ELSE state END AS state, CASE WHEN k % 11 <> 0 AND named IS NOT NULL THEN named WHEN len(own) > 0 THEN list_filter(own, lambda x: trim(x) <> '') ELSE ['gold', 'real-smoke'] END AS gates FROM p),
+r AS (SELECT l_orderkey AS k, list(gate) AS passed FROM (SELECT l_orderkey, {_LIST(_SUITES)}[CAST(l_partkey % 3 AS INTEGER) + 1] AS gate, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY ALL) WHERE ok GROUP BY l_orderkey), o AS (SELECT g.*, list_filter(gates, lambda x: NOT list_contains(coalesce(passed, []), x)) AS failed FROM g LEFT JOIN r USING (k)),
+t AS (SELECT *, CASE WHEN coalesce(decision, '') <> 'approved' THEN 'not_approved' WHEN coalesce(state, '') <> 'not_applied' THEN 'not_applyable' WHEN len(failed) > 0 THEN 'eval_gate_failed' END AS reason FROM o)
+SELECT k, CASE WHEN reason IS NULL THEN 'applied' WHEN reason = 'eval_gate_failed' THEN 'blocked' ELSE 'refused' END AS outcome, reason, array_to_string(failed, ',') AS failed_gates, coalesce(n, 0) AS n_rules, coalesce(files, '') AS files FROM t LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n, string_agg(DISTINCT f, ',' ORDER BY f) AS files FROM (SELECT l_orderkey, CASE {_LIST(_TARGETS)}[CAST(l_suppkey % 6 AS INTEGER) + 1] {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in gated.RULE_FILES.items())} ELSE 'general.json' END AS f FROM lineitem) WHERE l_orderkey IN (SELECT k FROM t WHERE reason IS NULL) GROUP BY l_orderkey) USING (k)""")
+def tuning_outcomes(spark, sf):
+    k = F.col("o_orderkey")
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    orders = _t(spark, sf, "orders")
+    proposals = orders.select(k.alias("k"), F.when(k % 4 == 0, words("core")).when(k % 4 == 1, words("gold", " ")).alias("required"))
+    decisions = orders.where(k % 11 != 0).select(k.alias("k"), F.when(F.col("o_orderstatus") == "P", "rejected").otherwise("approved").alias("decision"), F.when(k % 9 == 0, "applied").otherwise("not_applied").alias("apply_status"), F.when(k % 7 == 0, words("real-smoke", "core")).alias("required"))
+    line = _t(spark, sf, "lineitem")
+    reports = line.select(F.col("l_orderkey").alias("k"), _pick(_SUITES, F.col("l_partkey")).alias("gate"), F.when(F.col("l_returnflag") != "R", "pass").otherwise("fail").alias("status"))
+    none = F.lit(None).cast("string")
+    actions = line.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ordinal"), _pick(_TARGETS, F.col("l_suppkey")).alias("target"), none.alias("action"), F.col("l_quantity").cast("string").alias("value"), none.alias("reason"))
+    outcomes = gated.tuning_outcomes(proposals, decisions, reports, "k")
+    rules = gated.tuning_rules(outcomes, actions, "k").groupBy("k").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("file")).alias("files"))
+    return outcomes.join(rules, "k", "left").select("k", "outcome", "reason", F.array_join("failed_gates", ",").alias("failed_gates"), F.coalesce("n", F.lit(0)).alias("n_rules"), F.coalesce(F.array_join("files", ","), F.lit("")).alias("files"))
