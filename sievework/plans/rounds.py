@@ -7,9 +7,10 @@ around the texts by a row's own numbers. Orders are reports and their line items
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..operators import relational, repair, revision
-from .audits import _LIST, _pick
+from ..operators import relational, repair, report, revision
+from .audits import _LIST, _pick, _terms
 from .registry import _t, query
 
 ALLOWED = ("P1 p1", "P2 p2", "P3 p1", "P1 p3", "P2 p1")
@@ -120,3 +121,30 @@ def report_revisions(spark, sf):
     answers = first.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("attempt"), (F.col("l_discount") != 0.05).alias("success"), text.alias("text"), *[c.alias(k) for k, c in states.items()])
     attempts = revision.report_revisions(reports, revision.recorded(answers, ["o_orderkey"]), ["o_orderkey"], 4)
     return revision.final_drafts(reports, attempts, ["o_orderkey"], "report")
+
+
+# --- claims of a report: a conversation is a report, a turn a line, the next turn's text its evidence ---------------------
+
+_FLAT = "trim(regexp_replace(regexp_replace(text, '[.!?\\[\\]#|*:-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, {_FLAT} AS t, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next, CASE WHEN conv_id % 2 = 0 THEN 'Methods' ELSE 'Main Results' END AS section FROM conversations),
+c AS (SELECT *, CASE turn % 4 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN 'No evidence of kind ' || turn % 5 ELSE t END AS said, CASE turn % 4 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS n FROM l),
+k AS (SELECT *, {_terms('said')} AS ts, {_terms("coalesce(CASE WHEN turn % 4 = 0 THEN next END, '')")} AS es FROM c), u AS (SELECT *, CASE WHEN turn % 4 = 2 THEN 'material_gap' WHEN n = 0 AND len(ts) < 3 THEN 'structural' WHEN n = 0 THEN 'factual' WHEN n > 1 THEN 'synthesis' WHEN section = 'Methods' THEN 'method' ELSE 'result' END AS claim_type FROM k WHERE said <> ''),
+s AS (SELECT *, CASE WHEN claim_type = 'material_gap' THEN 'material_gap' WHEN n = 0 THEN 'uncited' WHEN n = 2 OR next IS NULL THEN 'unknown_citation' WHEN len(ts) = 0 OR len(list_intersect(ts, es)) >= CASE WHEN len(ts) <= 3 THEN 1 ELSE 2 END THEN 'supported' ELSE 'weak_support' END AS support_status FROM u WHERE claim_type <> 'structural')
+SELECT conv_id, 'C' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS claim_unit_id, section, claim_type, said AS text, support_status, CASE support_status WHEN 'material_gap' THEN 'material_gap' WHEN 'supported' THEN 'supported' WHEN 'weak_support' THEN 'weak' ELSE 'unsupported' END AS verdict, CASE WHEN claim_type = 'material_gap' THEN turn % 5 = conv_id % 5 END AS gap_allowed,
+CASE WHEN n = 2 THEN 'P' || turn || ' p1,P9 p' || turn WHEN n = 1 AND next IS NULL THEN 'P1 p' || turn ELSE '' END AS unknown_citations, CASE WHEN n > 0 AND next IS NOT NULL THEN CASE WHEN n = 1 THEN 'E' || turn ELSE '' END ELSE '' END AS evidence_row_ids FROM s""")
+def claim_units(spark, sf):
+    said, t, s = _t(spark, sf, "conversations"), F.col("turn"), lambda c: c.cast("string")
+    flat = F.trim(F.regexp_replace(F.regexp_replace("text", r"[.!?\[\]#|*:-]+", " "), r"\s+", " "))
+    line = F.when(t % 4 == 0, F.concat(flat, F.lit(" [P1 p"), s(t), F.lit("]."))).when(t % 4 == 1, flat).when(t % 4 == 2, F.concat(F.lit("- MATERIAL GAP: No evidence of kind "), s(t % 5), F.lit("."))).otherwise(F.concat(flat, F.lit(" ["), s(t), F.lit(", p. 1; P9 p"), s(t), F.lit("]")))
+    line = F.when((t % 4 == 2) | (flat != ""), line)
+    head = F.when(F.col("conv_id") % 2 == 0, "## Methods\n").otherwise("## Main  Results\n")
+    reports = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))).alias("l")).select("conv_id", F.concat(head, F.array_join(F.col("l.x"), "\n")).alias("report"))
+    by = W.partitionBy("conv_id").orderBy("turn")
+    rows = said.withColumn("next", F.lead("text").over(by)).where((t % 4 == 0) & F.col("next").isNotNull())
+    one = F.lit(1.0)
+    index = report.evidence_index(rows.select("conv_id", t.alias("ordinal"), F.concat(F.lit("E"), s(t)).alias("row_id"), F.concat(F.lit("P1 p"), s(t)).alias("citation"), F.col("next").alias("text"), F.lit("result").alias("evidence_type"), one.alias("quality_score"), one.alias("parse_confidence"), one.alias("trust_score"), F.lit("").alias("support_status"), F.lit("clean").alias("quality_label")), "conv_id")
+    gaps = said.select("conv_id", F.concat(F.lit("No evidence of kind "), s(F.col("conv_id") % 5)).alias("message")).distinct()
+    units = report.claim_units(reports, index, gaps, "conv_id")
+    return units.select("conv_id", "claim_unit_id", "section", "claim_type", "text", "support_status", "verdict", "gap_allowed", F.array_join("unknown_citations", ",").alias("unknown_citations"), F.array_join("evidence_row_ids", ",").alias("evidence_row_ids"))
