@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from ..functions import planning
 from ..operators import constraints, discovery, evidence_plan, gated, records, report, understanding
 from ..operators import model_labels as models
+from ..sources import readers
 from .audits import _LIST, _SQ, _pick
 from .registry import NORM, _t, query
 
@@ -237,3 +238,27 @@ def tuning_outcomes(spark, sf):
     outcomes = gated.tuning_outcomes(proposals, decisions, reports, "k")
     rules = gated.tuning_rules(outcomes, actions, "k").groupBy("k").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("file")).alias("files"))
     return outcomes.join(rules, "k", "left").select("k", "outcome", "reason", F.array_join("failed_gates", ",").alias("failed_gates"), F.coalesce("n", F.lit(0)).alias("n_rules"), F.coalesce(F.array_join("files", ","), F.lit("")).alias("files"))
+
+
+# --- links to PDFs: the tables' pages, each with a head of its own --------------------------------------------------------
+
+_TAGS = (
+    "<meta name='citation_pdf_url' content='https://a.org/x.pdf?a=1&amp;b=2'>", '<LINK REL="alternate PDF" HREF="/get/pdf">', '<link rel=next href="/y.pdf">', '<link type="Application/PDF" href="z?type=pdf">', '<meta property="og:pdf" content="https://a.org/pdf/7">', '<meta name="DC.Identifier" content="doi:10.1/x">',
+    '<a class="a > b" href=/v/pdfft#top>x</a>', '<a href="paper.PDF;v=1">y</a><abbr href="no.pdf">', "<meta name='' property='og:pdf' content='pdf'>", '<a data-href="n.pdf">z</a><meta content="m.pdf" name="other">', "",
+)
+_PATH = "regexp_replace(regexp_replace(lower(h), '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*', ''), '[?#;].*$', '')"
+
+
+def _attr_sql(name: str) -> str:
+    pattern = f"""(?is)[\\s"'']{name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))"""
+    groups = " || ".join(f"regexp_extract(t, '{pattern}', {k})" for k in (1, 2, 3))
+    return f"CASE WHEN regexp_matches(t, '{pattern}') THEN replace({groups}, '&amp;', '&') END"
+
+
+@query(f"""WITH tags AS (SELECT page_id, unnest(g) AS t, generate_subscripts(g, 1) AS i FROM (SELECT page_id, regexp_extract_all({_LIST(_TAGS)}[CAST(page_id % {len(_TAGS)} AS INTEGER) + 1] || html || {_LIST(_TAGS)}[CAST((page_id * 3 + 1) % {len(_TAGS)} AS INTEGER) + 1], '(?is)<(?:a|link|meta)[\\s/](?:"[^"]*"|''[^'']*''|[^"''>])*>') AS g FROM pages)),
+h AS (SELECT page_id, i, CASE WHEN regexp_matches(t, '^<a[\\s/]', 'i') THEN {_attr_sql('href')} WHEN regexp_matches(t, '^<link', 'i') THEN CASE WHEN contains(lower(coalesce({_attr_sql('rel')}, '')), 'pdf') OR lower({_attr_sql('type')}) = 'application/pdf' THEN {_attr_sql('href')} END WHEN lower(coalesce(nullif({_attr_sql('name')}, ''), {_attr_sql('property')}, '')) IN ('citation_pdf_url', 'dc.identifier', 'og:pdf') THEN {_attr_sql('content')} END AS h FROM tags)
+SELECT page_id, string_agg(h, ' ' ORDER BY i) AS hrefs FROM h WHERE h <> '' AND ({_PATH} IN ('pdf', 'pdfft') OR regexp_matches({_PATH}, '(?:\\.pdf|/pdf|/pdfft)$|/pdf/')) GROUP BY page_id""")
+def pdf_links(spark, sf):
+    n = F.col("page_id")
+    html = F.concat(_pick(_TAGS, n), "html", _pick(_TAGS, n * 3 + 1))
+    return _t(spark, sf, "pages").select("page_id", readers.pdf_hrefs(html).alias("h")).where(F.size("h") > 0).select("page_id", F.array_join("h", " ").alias("hrefs"))

@@ -59,6 +59,33 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('<a [^>]*href="([^"]*)"'), 1)
 
 
+#: Meta names whose content is a PDF's address.
+PDF_META = ("citation_pdf_url", "dc.identifier", "og:pdf")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or bare, with the commonest entities read; null where it is missing."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    for old, new in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return F.when(tag.rlike(pattern), value)
+
+
+def pdf_hrefs(html: Column) -> Column:
+    """Targets that look like PDFs, in order: of anchors, of links of a PDF's relation or type, and of the meta names ``PDF_META``.
+
+    A target looks like one if its path ends in .pdf, /pdf or /pdfft, is pdf or pdfft, or passes through /pdf/.
+    """
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:a|link|meta)[\s/](?:"[^"]*"|'[^']*'|[^"'>])*>"""), 0)
+    low = lambda t, name: F.lower(F.coalesce(_attribute(t, name), F.lit("")))
+    linked = lambda t: F.when(low(t, "rel").contains("pdf") | (low(t, "type") == "application/pdf"), _attribute(t, "href"))
+    named = lambda t: F.lower(F.coalesce(F.nullif(_attribute(t, "name"), F.lit("")), _attribute(t, "property"), F.lit("")))
+    target = lambda t: F.when(t.rlike(r"(?i)^<a[\s/]"), _attribute(t, "href")).when(t.rlike("(?i)^<link"), linked(t)).when(named(t).isin(*PDF_META), _attribute(t, "content"))
+    path = lambda h: F.regexp_replace(F.regexp_replace(F.lower(h), r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*", ""), "[?#;].*$", "")
+    return F.filter(F.transform(tags, target), lambda h: h.isNotNull() & (h != "") & (path(h).isin("pdf", "pdfft") | path(h).rlike(r"(?:\.pdf|/pdf|/pdfft)$|/pdf/")))
+
+
 def plain(html: Column) -> Column:
     return clean_markup(html)
 

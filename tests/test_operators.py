@@ -96,3 +96,10 @@ def test_ranked_by_ranges(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert [(r.k, r.v) for r in sorted(out.collect(), key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in out.collect()) == list(range(1, 1001))
     assert out.columns == ["k", "v", "rank"] and relational.ranked(df.where("false"), ["k"]).count() == 0
+
+
+def test_pdf_links(spark):
+    html = """<meta name="Citation_PDF_URL" content='/a?x=1&amp;y=2#f'><meta name="citation_pdf_url" content="/a.pdf?x=1&amp;y=2"><link rel="stylesheet" href="/s.pdf"><link rel="x PDF" href=/b/pdf><a title="1 > 0" href='c.PDF'>c</a>
+    <a name=top>n</a><A HREF="https://h.pdf/none">no</A><a href="/pdf/7">d</a><META content="e/pdfft" PROPERTY="og:pdf"/><a href="">e</a><abbr href="f.pdf"><a href="pdf">g</a><a data-href="h.pdf" id="i">i</a>"""
+    assert one(spark, html, readers.pdf_hrefs) == ["/a.pdf?x=1&y=2", "/b/pdf", "c.PDF", "/pdf/7", "e/pdfft", "pdf"]
+    assert one(spark, "", readers.pdf_hrefs) == []
