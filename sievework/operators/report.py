@@ -67,8 +67,9 @@ def terms_support(claim: Column, evidence: Column) -> Column:
 
 
 def overstatements(c: Column) -> Column:
-    """Overstating phrases, each once, in the order of the patterns."""
-    return F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.lower(c), F.lit(p), 0), lambda x: F.regexp_replace(x, r"\s+", " ")) for p in OVERSTATED])))
+    """Overstating phrases, each once, in the order of the patterns; they are tried one by one only where one of them is found."""
+    each = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.lower(c), F.lit(p), 0), lambda x: F.regexp_replace(x, r"\s+", " ")) for p in OVERSTATED]))
+    return F.when(F.lower(c).rlike("|".join(OVERSTATED)), F.array_distinct(each)).otherwise(none())
 
 
 def unsupported_overstatements(claim: Column, cited: Column, evidence: Column) -> Column:
@@ -106,9 +107,10 @@ def role(kind: Column, c: Column) -> Column:
     front = r"(?i)\b(?:keywords?\s*:|original research\s+published\s*:|received\s*:|accepted\s*:|published\s*:)"
     formula = r"(?iu)(?:\bformally\b|\blearning objective\b|\bloss function\b|[ℒ∑𝜆𝛼𝛽µμ]|(?:^|\s)[A-Z]\s*=|=\s*[A-Z_a-z(])"
     r = F.when(c.rlike(front), "front_matter").when(c.rlike(formula), "formula_detail").when(kind.isin(*ROLES), kind).otherwise("claim")
-    action = choose(r, {"front_matter": "exclude", "metadata_noise": "exclude", "formula_detail": "appendix", "method_detail": "appendix"}, "include")
-    reason = choose(r, {"front_matter": "front matter is not evidentiary prose", "formula_detail": "formula details belong outside narrative prose", "method_detail": "technical method details belong outside main prose", "metadata_noise": "metadata noise is not evidence"}, "usable evidence for narrative prose")
-    return F.struct(r.alias("role"), action.alias("action"), reason.alias("reason"))
+    actions = {"front_matter": "exclude", "metadata_noise": "exclude", "formula_detail": "appendix", "method_detail": "appendix"}
+    reasons = {"front_matter": "front matter is not evidentiary prose", "formula_detail": "formula details belong outside narrative prose", "method_detail": "technical method details belong outside main prose", "metadata_noise": "metadata noise is not evidence"}
+    # through an array, so that the patterns are tried once and not for each field that is read
+    return F.get(F.transform(F.array(r), lambda x: F.struct(x.alias("role"), choose(x, actions, "include").alias("action"), choose(x, reasons, "usable evidence for narrative prose").alias("reason"))), 0)
 
 
 def draft_sentences(c: Column) -> Column:

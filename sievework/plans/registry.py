@@ -47,7 +47,9 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; those of texts, whose rows are costly, use all cores whatever their row groups."""
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    return readers.spread(table) if name in ("documents", "conversations", "pages") else table
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,8 +313,9 @@ KIND = "CASE " + " ".join(f"WHEN regexp_matches(sentence, '{p}', 'i') THEN '{k}'
 
 
 def _items(spark, sf):
-    s = sentence_split(spark, sf)
-    return s.withColumns({"flags": evidence.flags(F.col("sentence")), "kind": evidence.classify(F.col("sentence"), TYPES)})
+    """Sentences with flags and kind; they come out of an explode, so that filters on them don't evaluate the patterns again."""
+    found = F.struct(evidence.flags(F.col("sentence")).alias("flags"), evidence.classify(F.col("sentence"), TYPES).alias("kind"))
+    return sentence_split(spark, sf).select("*", F.explode(F.array(found)).alias("x")).select("doc_id", "seq", "sentence", "x.flags", "x.kind")
 
 
 ITEMS = f"(SELECT *, {FLAGS} AS flags, {KIND} AS kind FROM {SENTS})"

@@ -11,6 +11,15 @@ from ..operators.candidates import atom_candidates
 WORKS = "struct<results:array<struct<ids:struct<doi:string,pmid:string,pmcid:string>,display_name:string,publication_year:int,primary_location:struct<landing_page_url:string,pdf_url:string,source:struct<display_name:string>>,open_access:struct<oa_status:string,oa_url:string>,abstract_inverted_index:map<string,array<int>>,concepts:array<struct<display_name:string>>>>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few row groups, dealt over all cores: a scan has no more tasks than row groups, however costly its rows are.
+
+    A table with more row groups than cores, which any large one has, is left as it is, so what is shuffled is bounded.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Sources of manifest files, each either CSV, if a comma is among its first 4,096 characters, or a list.
 
