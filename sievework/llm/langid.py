@@ -2,7 +2,8 @@
 
 Each language has probabilities of the vocabulary's pieces. A word's likelihood is the sum, by the forward
 algorithm, over all its segmentations into pieces; a text's is the product over its words (runs of letters,
-lower-cased, each with the word mark before it). Learning counts every word of every training document by
+lower-cased, each with the word mark before it; a run of more than 32 letters is scored in parts of 32, so
+segmentations with a piece across a cut are left out). Learning counts every word of every training document by
 language, then runs expectation-maximisation (forward-backward) over these counts.
 
 A text that is null or has no letter is ``und`` with score 0. Training texts with a null lang teach nothing.

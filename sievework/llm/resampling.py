@@ -204,6 +204,5 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     # those with too few words come last and are not counted
     order = [F.col("n_words") < least_words, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "slice", "place"]
     placed = ranked(rows, order, columns)
-    able = own_count = placed.agg(F.count(F.when(F.col("n_words") >= least_words, 1))).first()[0]
-    drawn = percent * own_count // 100 if able else 0
+    drawn = percent * placed.agg(F.count(F.when(F.col("n_words") >= least_words, 1))).first()[0] // 100
     return placed.select("doc_id", "n_features", "weight", "score", F.when(F.col("rank") <= drawn, F.col("rank")).cast("long").alias("rank"))
