@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marks a cut inside a text; texts do not hold it.
 CUT = "\x01"
 
 
+def settled(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a costly column that is evaluated once a row: it comes out of an explode, so that filters on it and columns made of it don't evaluate it again."""
+    return df.withColumn(name, c).withColumn(name, F.explode(F.array(name)))
+
+
 def normalize_phrase(c: Column) -> Column:
     """Lower-case words of a-z and 0-9 with single blanks between."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .evidence import FRONT_MATTER, INJECTION, ratio_gate
+from ..functions.text import settled
+from .evidence import FRONT_MATTER, INJECTION
 
 #: Ligatures, headings and the sections they open, and the sections that a type may stand in.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
@@ -263,9 +264,10 @@ def curate(pages: DataFrame, doc: str, types: dict[str, str] | None = None, leas
         F.transform(F.when(F.trim("s.tail") == "", none).otherwise(split_sentences(F.col("s.tail"))), lambda x: F.struct(F.lit(True).alias("ref"), F.lit("references").alias("section"), x.alias("sentence"))),
     )
     s = p.select(doc, "page_number", "_c", "_f", F.posexplode(rows).alias("seq", "r")).select(doc, "page_number", "_c", "_f", "seq", "r.ref", "r.section", sanitize(F.col("r.sentence")).alias("raw"))
-    s = s.withColumn("evidence_type", evidence_type(F.col("raw"), types)).where("evidence_type is not null").withColumn("own", F.when(F.col("ref"), F.array(F.lit("reference_section"))).otherwise(quality_flags(F.col("raw"))))
+    s = settled(settled(s, "raw", F.col("raw")), "evidence_type", evidence_type(F.col("raw"), types)).where("evidence_type is not null")
+    s = settled(s, "own", F.when(F.col("ref"), F.array(F.lit("reference_section"))).otherwise(quality_flags(F.col("raw"))))
     clean, low = F.size("own") == 0, F.col("_c") < least_confidence
-    s = s.withColumn("text", F.when(clean | F.col("ref"), strip_heading(F.col("raw"))).otherwise(F.col("raw"))).where(~clean | ((F.col("text") != "") & supported(F.col("section"), F.col("evidence_type"))))
+    s = settled(s, "text", F.when(clean | F.col("ref"), strip_heading(F.col("raw"))).otherwise(F.col("raw"))).where(~clean | ((F.col("text") != "") & supported(F.col("section"), F.col("evidence_type"))))
     paged = F.when(low & ~F.col("ref"), F.array(F.lit("low_page_parse_confidence"))).otherwise(none)
     s = s.withColumns({"quality_flags": F.array_distinct(F.concat("own", paged)), "quality_score": F.when(~clean, 0.2).otherwise(F.when(low, F.col("_c")).otherwise(1.0)), "parse_confidence": F.when(F.col("ref"), 1.0).otherwise(F.col("_c")), "parse_flags": F.when(F.col("ref"), none).otherwise(F.col("_f"))})
     page = W.partitionBy(doc, "page_number")
@@ -289,8 +291,10 @@ def curate(pages: DataFrame, doc: str, types: dict[str, str] | None = None, leas
 
 def document_gate(accepted: DataFrame, blocked: DataFrame, doc: str, least: int = 20, share: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Accepted and blocked after the gate: of documents with many blocked rows (references aside), accepted rows without a strong anchor are blocked too."""
-    both = accepted.select(doc, F.lit(False).alias("b")).unionByName(blocked.where(~F.array_contains("quality_flags", "reference_section")).select(doc, F.lit(True).alias("b")))
-    poor = ratio_gate(both, [doc], F.col("b"), least, share).where("gated").select(doc, "gated")
-    marked = accepted.join(poor, doc, "left").withColumn("out", F.coalesce("gated", F.lit(False)) & document_vulnerable(F.col("text"))).drop("gated")
-    lost = marked.where("out").drop("out").withColumns({"quality_label": F.lit("blocked"), "quality_score": F.least("quality_score", F.lit(0.4)), "quality_flags": F.array_union("quality_flags", F.array(F.lit("document_parse_quality")))})
-    return marked.where(~F.col("out")).drop("out"), blocked.unionByName(lost)
+    both = accepted.withColumn("_in", F.lit(True)).unionByName(blocked.withColumn("_in", F.lit(False)))
+    counts = F.col("_in") | ~F.array_contains("quality_flags", "reference_section")
+    own, per = F.count_if(counts & ~F.col("_in")).over(W.partitionBy(doc)), F.count_if(counts).over(W.partitionBy(doc))
+    both = both.withColumn("_gated", F.col(doc).isNotNull() & (own >= least) & (own >= share * per)).withColumn("_out", F.col("_in") & F.col("_gated") & document_vulnerable(F.col("text")))
+    kept, rest = both.where(F.col("_in") & ~F.col("_out")), both.where(~F.col("_in") | F.col("_out"))
+    rest = rest.withColumns({"quality_label": F.when(F.col("_out"), "blocked").otherwise(F.col("quality_label")), "quality_score": F.when(F.col("_out"), F.least("quality_score", F.lit(0.4))).otherwise(F.col("quality_score")), "quality_flags": F.when(F.col("_out"), F.array_union("quality_flags", F.array(F.lit("document_parse_quality")))).otherwise(F.col("quality_flags"))})
+    return kept.drop("_in", "_gated", "_out"), rest.drop("_in", "_gated", "_out")
