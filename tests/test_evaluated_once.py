@@ -13,7 +13,7 @@ def run_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", ["gated_evidence", "curated_pages"])
+@pytest.mark.parametrize("name", ["gated_evidence", "curated_pages", "curated_flags"])
 def test_curation_tries_its_patterns_once(spark, name):
     plan = run_plan(entry.queries()[name](spark, SF))
     assert plan.count("single[- ]center") == 1
