@@ -45,7 +45,8 @@ def sentences(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by blanks."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(words), runs)[0]  # the words are found once, not for each run
 
 
 #: A citation inside a bracket group: ``P<n> p<page>``, or as readers see it, ``<n>, p. <page>``.

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.planning import ACRONYMS, Sense
 from ..functions.text import acronyms, contains_phrase, ngrams, normalize_phrase
 from .report import STRINGS, none
@@ -95,7 +96,7 @@ def profile_matches(queries: DataFrame, profiles: DataFrame, keys: list[str]) ->
     terms = terms.withColumn("phrase", normalize_phrase(F.col("term"))).groupBy("phrase", "profile_id", "place", "wanted", "list").agg(F.count("*").alias("times")).where("phrase <> ''")
     longest = terms.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(0))).first()[0]
     words = F.split(normalize_phrase(F.coalesce("query", F.lit(""))), " ")
-    runs = F.array_distinct(F.flatten(F.array(*[ngrams(words, n) for n in range(1, longest + 1)]))) if longest else none()
+    runs = F.transform(F.array(words), lambda w: F.array_distinct(F.flatten(F.array(*[ngrams(w, n) for n in range(1, longest + 1)]))))[0] if longest else none()
     said = queries.select(*keys, F.explode(runs).alias("phrase"))
     hits = said.join(small(terms), "phrase").groupBy(*keys, "profile_id", "place", "wanted")
     n = lambda name: F.coalesce(F.sum(F.when(F.col("list") == name, F.col("times"))), F.lit(0))
@@ -111,7 +112,7 @@ def topic_plans(queries: DataFrame, profiles: DataFrame, keys: list[str]) -> Dat
     query itself first among the searches. A query that matches none has the domain unknown and itself as its core term and search.
     """
     bare = queries.select(*keys, F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"\s+", " ")).alias("query"))
-    met = profile_matches(bare, profiles, keys)
+    met = durable(profile_matches(bare, profiles, keys))  # read three times
     own = profiles.select("profile_id", F.nullif(F.col("domain"), F.lit("unknown")).alias("domain"), "hint", *LISTS)
     full = met.join(small(own), "profile_id")
     named = F.struct("place", "profile_id", "needed")

@@ -1,8 +1,10 @@
 """Costly patterns stand once in the plan that is run: a filter or a column made of them doesn't try them again."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sievework.functions import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +19,13 @@ def run_plan(df) -> str:
 def test_curation_tries_its_patterns_once(spark, name):
     plan = run_plan(entry.queries()[name](spark, SF))
     assert plan.count("single[- ]center") == 1
+
+
+def test_runs_of_words_find_the_words_once(spark):
+    df = spark.createDataFrame([("a b c",), ("a",), (None,)], "t string").select(text.ngrams(F.split("t", " "), 2).alias("g"))
+    assert [r.g for r in df.collect()] == [["a b", "b c"], [], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_topic_plans_match_the_queries_once(spark):
+    assert run_plan(entry.queries()["topic_plans"](spark, SF)).count("array_distinct(") == 0
