@@ -180,7 +180,7 @@ FROM (SELECT doc_id, list_filter([source, lang || ' ' || source, source], lambda
 
 @query(f"SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS rank FROM {_TERMS.format(more='', where='')} QUALIFY rank <= 12")
 def metadata_terms(spark, sf):
-    top = topics.most_common(topics.term_counts(_records(spark, sf), "doc_id"))
+    top = topics.top_terms(_records(spark, sf), "doc_id")
     return top.select("term", "n", F.row_number().over(W.orderBy(F.desc("n"), "first")).alias("rank"))
 
 
