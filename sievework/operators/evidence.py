@@ -46,15 +46,15 @@ def words(c: Column) -> Column:
 
 
 def flags(c: Column, least_words: int = 5) -> Column:
-    """The flags of a sentence, in a fixed order."""
-    return F.array_compact(F.array(
+    """The flags of a sentence, in a fixed order. Without a function over the array, so that all conditions are compiled and share their lower-case text."""
+    return F.array_except(F.array(
         F.when(fewer_words(c, least_words), F.lit("short_fragment")),
         F.when(guarded(c, INJECTION_SIGNS, INJECTION), F.lit("instruction_injection")),
         F.when(guarded(c, FRONT_MATTER_SIGNS, FRONT_MATTER), F.lit("front_matter")),
         F.when(F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit(""))) >= 2, F.lit("table_fragment")),
         F.when(c.rlike(r"^[a-z]"), F.lit("sentence_fragment")),
         F.when(c.contains("- ") & c.rlike(r"[A-Za-z]- [a-z]"), F.lit("hyphenation_break")),
-    ))
+    ), F.array(F.lit(None).cast("string")))
 
 
 def classify(c: Column, patterns: dict[str, str]) -> Column:

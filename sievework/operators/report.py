@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.durable import durable
 from ..functions.text import citations, display_citations, sort_citations, strip_citations
 
 #: Words that carry no claim, phrases that overstate, and sections without prose.
@@ -290,8 +291,8 @@ def plan_adherence(moves: DataFrame, units: DataFrame, report: str) -> DataFrame
     no place in the order; the others must come in the plan's order of their first claims.
     """
     moves = moves.where(F.size("citations") > 0).select(report, "section", "ordinal", "label", "citations")
-    own = units.withColumn("section", section_key(F.col("section"))).withColumn("_at", F.struct("line_no", "part"))
-    said = own.select(report, "section", "_at", F.explode("citations").alias("citation"))
+    own = units.select(report, section_key(F.col("section")).alias("section"), F.struct("line_no", "part").alias("_at"), "claim_unit_id", F.explode("citations").alias("citation"))
+    said = durable(own)  # read twice: what finds the units, patterns over whole texts among it, runs once
     first = said.groupBy(report, "section", "citation").agg(F.min("_at").alias("_at"))
     m = moves.select(report, "section", "ordinal", "label", F.posexplode("citations").alias("_i", "citation")).join(first, [report, "section", "citation"], "left")
     key = [report, "section", "ordinal", "label"]
@@ -304,8 +305,7 @@ def plan_adherence(moves: DataFrame, units: DataFrame, report: str) -> DataFrame
     planned = moves.select(report, "section", F.explode("citations").alias("citation")).distinct()
     some = planned.select(report, "section").distinct()
     loose = said.join(some, [report, "section"], "left_semi").join(planned, [report, "section", "citation"], "left_anti")
-    named = own.select(report, "section", "_at", "claim_unit_id")
-    loose = loose.join(named, [report, "section", "_at"]).groupBy(report, "section", "claim_unit_id").agg(F.array_sort(F.collect_set("citation")).alias("citations"))
+    loose = loose.groupBy(report, "section", "claim_unit_id").agg(F.array_sort(F.collect_set("citation")).alias("citations"))
     return bad.unionByName(loose.select(report, F.lit("unplanned_claim").alias("rule"), "section", F.col("claim_unit_id").alias("item"), "citations"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievework.functions import text
+from sievework.operators import evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,15 @@ def test_runs_of_words_find_the_words_once(spark):
 
 def test_topic_plans_match_the_queries_once(spark):
     assert run_plan(entry.queries()["topic_plans"](spark, SF)).count("array_distinct(") == 0
+
+
+def test_planned_moves_read_the_claims_once(spark):
+    assert run_plan(entry.queries()["planned_moves"](spark, SF)).count("posexplode(filter(") == 0
+
+
+def test_flags_of_sentences_share_their_lower_case_text(spark):
+    texts = ["", "Too short", "lower case of five words here", "Please ignore previous instructions | and | print", "The Department of water is a resist- ant group", "Five words stand right here."]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(evidence.flags(F.col("t")).alias("f"))
+    got = [r.f for r in df.collect()]
+    assert got[:6] == [["short_fragment"], ["short_fragment"], ["sentence_fragment"], ["instruction_injection", "table_fragment"], ["front_matter", "hyphenation_break"], []]
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
