@@ -23,6 +23,11 @@ OVERSTATED = (
     r"\bprove[sd]?\b", r"\bproven\b", r"\bestablish(?:ed|es)?\b", r"\bdefinitive\b", r"\bclinically definitive\b", r"\bstandard of care\b", r"\bmortality benefit\b", r"\bsurvival benefit\b", r"\bcausal(?:ity)?\b", r"\bcaused\b",
     r"\bguarantee[sd]?\b", r"\bglobal hospital deployment\b", r"\bclinical deployment\b", r"\bvalidated for deployment\b", r"\bready for clinical use\b", r"\broutine clinical use\b", r"\bpractice[- ]changing\b",
 )
+#: Lower-case letters without which no overstating phrase, no front matter and no formula is found.
+OVERSTATED_SIGNS = ("prove", "establish", "definitive", "standard of care", "benefit", "caus", "guarantee", "deployment", "clinical use", "practice")
+FRONT_SIGNS = ("keyword", "published", "received", "accepted")
+#: Without i, k and s, which letters of other scripts may stand for.
+FORMULA_SIGNS = ("=", "formall", "learn", "funct", "ℒ", "∑", "𝜆", "𝛼", "𝛽", "µ", "μ")
 APPENDED = ("evidence table", "literature", "citation audit")
 SECTIONS = ("background", "methods", "results", "limitations")
 INTRODUCTIONS = tuple(f"The {s} section draws on " for s in SECTIONS)
@@ -70,7 +75,7 @@ def terms_support(claim: Column, evidence: Column) -> Column:
 def overstatements(c: Column) -> Column:
     """Overstating phrases, each once, in the order of the patterns; they are tried one by one only where one of them is found."""
     each = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.lower(c), F.lit(p), 0), lambda x: F.regexp_replace(x, r"\s+", " ")) for p in OVERSTATED]))
-    return F.when(F.lower(c).rlike("|".join(OVERSTATED)), F.array_distinct(each)).otherwise(none())
+    return F.when(holds_any(F.lower(c), OVERSTATED_SIGNS) & F.lower(c).rlike("|".join(OVERSTATED)), F.array_distinct(each)).otherwise(none())
 
 
 def unsupported_overstatements(claim: Column, cited: Column, evidence: Column) -> Column:
@@ -83,8 +88,8 @@ def unsupported_overstatements(claim: Column, cited: Column, evidence: Column) -
 
 def claim_quality(c: Column) -> Column:
     """How well a claim reads: up to 46, and -1 under six words."""
-    n = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    upper = F.length(F.regexp_replace(c, r"\P{Lu}", ""))
+    n = F.regexp_count(c, F.lit(r"\S+"))
+    upper = F.regexp_count(c, F.lit(r"\p{Lu}"))
     count = lambda x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
     value = F.least(n, F.lit(40)) + F.when(holds_any(F.lower(c), ("achieved", "show", "identified", "agreement", "sensitivity")), 6).otherwise(0)
     return F.when(n < 6, -1).otherwise(value - F.when(count("[") != count("]"), 2).otherwise(0) - F.when(upper > F.greatest(F.lit(12), F.floor(F.length(c) / 3)), 1).otherwise(0)).cast("int")
@@ -107,7 +112,8 @@ def role(kind: Column, c: Column) -> Column:
     """struct(role, action, reason) of an evidence row in a plan: include, appendix or exclude."""
     front = r"(?i)\b(?:keywords?\s*:|original research\s+published\s*:|received\s*:|accepted\s*:|published\s*:)"
     formula = r"(?iu)(?:\bformally\b|\blearning objective\b|\bloss function\b|[ℒ∑𝜆𝛼𝛽µμ]|(?:^|\s)[A-Z]\s*=|=\s*[A-Z_a-z(])"
-    r = F.when(c.rlike(front), "front_matter").when(c.rlike(formula), "formula_detail").when(kind.isin(*ROLES), kind).otherwise("claim")
+    low = F.lower(c)
+    r = F.when(holds_any(low, FRONT_SIGNS) & c.rlike(front), "front_matter").when(holds_any(low, FORMULA_SIGNS) & c.rlike(formula), "formula_detail").when(kind.isin(*ROLES), kind).otherwise("claim")
     actions = {"front_matter": "exclude", "metadata_noise": "exclude", "formula_detail": "appendix", "method_detail": "appendix"}
     reasons = {"front_matter": "front matter is not evidentiary prose", "formula_detail": "formula details belong outside narrative prose", "method_detail": "technical method details belong outside main prose", "metadata_noise": "metadata noise is not evidence"}
     # through an array, so that the patterns are tried once and not for each field that is read

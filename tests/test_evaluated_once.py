@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievework.functions import text
-from sievework.operators import evidence
+from sievework.operators import evidence, report
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,18 @@ def test_flags_of_sentences_share_their_lower_case_text(spark):
     got = [r.f for r in df.collect()]
     assert got[:6] == [["short_fragment"], ["short_fragment"], ["sentence_fragment"], ["instruction_injection", "table_fragment"], ["front_matter", "hyphenation_break"], []]
     assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wording_tries_costly_patterns_only_on_signs(spark):
+    texts = ["We formally state it", "x LEARNING objective", "the loſs function", "gain of 5 µm", "GAIN OF 5 ΜM", "A = 3", "Accepted : now", "Published: then", "KEYWORD: a", "Caused by a practice-changing survival benefit", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", report.role(F.lit("claim"), F.col("t")).alias("r"), report.overstatements(F.col("t")).alias("o"))
+    rows = df.orderBy("i").collect()
+    assert [r.r.role for r in rows] == ["formula_detail"] * 6 + ["front_matter"] * 3 + ["claim"] * 2
+    assert rows[9].o == ["survival benefit", "caused", "practice-changing"] and rows[10].o == []
+    assert "contains" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_quality_of_claims(spark):
+    texts = ["", "  ", "one two three four five", " one two  three four five six ", "AN UPPER CASE ENDING OF MANY WORDS", "it achieved one [two three four", "ÀÉ𝐀 À É ÀÉÀÉÀÉÀÉÀÉ one two three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", report.claim_quality(F.col("t")).alias("q"))
+    assert [r.q for r in df.orderBy("i").collect()] == [-1, -1, -1, 6, 6, 10, 6]
